@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrain.llm import canonical, charforms, entities, packing, sentences, splitting, tokens
+from casegrain.llm import canonical, charforms, entities, languages, packing, scans, sentences, splitting, tokens
 from casegrain.sources.tables import table
 
 
@@ -42,6 +42,30 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return entities.variant_pairs(entities.resolve(entities.names_of(table(spark, root, "case_evidence"))))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    content = languages.dictionaries(table(spark, root, "documents"))
+    asked = table(spark, root, "legal_queries")
+    told = languages.classify_texts(asked.select("query_id", "original_query", "detected_language"), "query_id", "original_query", content)
+    wrong = told.join(asked.select("query_id", "detected_language"), "query_id").where(
+        "lang IS NOT NULL AND NOT (detected_language <=> lang)"
+    )
+    mixed = languages.mixed_texts(languages.text_languages(table(spark, root, "document_results"), "doc_id", "text", content), "doc_id")
+    return (
+        wrong.select(F.lit("query").alias("src"), F.col("query_id").cast("string").alias("row_key"), "lang")
+        .unionByName(mixed.select(F.lit("result").alias("src"), F.col("doc_id").alias("row_key"), "lang"))
+        .distinct()
+    )
+
+
+def p4_stretches(spark: SparkSession, root: str) -> DataFrame:
+    content = languages.dictionaries(table(spark, root, "documents"))
+    return languages.text_languages(table(spark, root, "document_results"), "doc_id", "text", content)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.find(table(spark, root, "page_details"), table(spark, root, "documents").select(F.col("text").alias("_text")))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     staged = charforms.same_look(table(spark, root, "staged_cases"), "doc_id", "text_excerpt")
     results = charforms.same_look(table(spark, root, "document_results"), "doc_id", "text")
@@ -66,7 +90,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids,
         "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p9_found": p9_found,
     }
 
