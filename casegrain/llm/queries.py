@@ -66,6 +66,10 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return scans.find(table(spark, root, "page_details"), table(spark, root, "documents").select(F.col("text").alias("_text")))
 
 
+def p5_texts(spark: SparkSession, root: str) -> DataFrame:
+    return scans.repair(table(spark, root, "page_details"), table(spark, root, "documents").select(F.col("text").alias("_text")))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     staged = charforms.same_look(table(spark, root, "staged_cases"), "doc_id", "text_excerpt")
     results = charforms.same_look(table(spark, root, "document_results"), "doc_id", "text")
@@ -90,7 +94,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p7_ids": p7_ids,
         "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p9_found": p9_found,
     }
 
