@@ -30,6 +30,11 @@ def top_n(df: DataFrame, n: int, by: str = "query_id", score: str = "score", tie
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def settled(c: Column, digits: int) -> Column:
+    """Rounded, with ties of the decimal form settled upwards whatever the last bit of the double."""
+    return F.round(c + 1e-9, digits)
+
+
 def clip(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
@@ -37,7 +42,7 @@ def clip(c: Column) -> Column:
 def fused(semantic: Column, graph: Column) -> Column:
     """Weighted sum where there is a graph score, else the semantic score."""
     s, g = clip(F.coalesce(semantic, F.lit(0.0))), clip(F.coalesce(graph, F.lit(0.0)))
-    return F.round(F.when(g > 0, SEMANTIC * s + GRAPH * g).otherwise(s), 6)
+    return settled(F.when(g > 0, SEMANTIC * s + GRAPH * g).otherwise(s), 6)
 
 
 def hybrid_rank(semantic: DataFrame, graph: DataFrame, k: int = 10, by: str = "query_id", case: str = "case_id") -> DataFrame:
@@ -75,7 +80,7 @@ def apply_feedback(ranked: DataFrame, votes: DataFrame) -> DataFrame:
     """Adds feedback_boost, feedback_votes and lifts final_score, at most to 1."""
     j = ranked.join(votes, "case_id", "left")
     return j.withColumn("feedback_votes", F.coalesce("net", F.lit(0))).withColumn("feedback_boost", F.round(boost(F.col("net")), 4)).withColumn(
-        "final_score", F.round(F.least(F.col("final_score") + boost(F.col("net")), F.lit(1.0)), 6)
+        "final_score", settled(F.least(F.col("final_score") + boost(F.col("net")), F.lit(1.0)), 6)
     ).drop("net")
 
 
@@ -89,5 +94,5 @@ def confidence(ranked: DataFrame, by: str = "query_id", final: str = "final_scor
     f1 = F.when(F.col("t") > STRONG, F.col("t")).otherwise(F.col("t") * 0.5)
     f2 = F.when(F.col("s").isNull(), 0.5).when(F.col("t") > STRONG, F.least((F.col("t") - F.col("s")) * 2, F.lit(1.0))).otherwise(0.2)
     f3, f4 = F.least(F.col("n") / 3, F.lit(1.0)), F.when(F.col("g") > GRAPH_STRONG, 1.0).otherwise(0.5)
-    c = F.round(F.least(0.5 * f1 + 0.2 * f2 + 0.2 * f3 + 0.1 * f4, F.lit(1.0)), 4)
+    c = settled(F.least(0.5 * f1 + 0.2 * f2 + 0.2 * f3 + 0.1 * f4, F.lit(1.0)), 4)
     return top.select(by, c.alias("confidence")).withColumn("confident", F.col("confidence") >= CONFIDENT)
