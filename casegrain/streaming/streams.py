@@ -37,8 +37,9 @@ def event_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "2 ho
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), who).agg(F.count(F.lit(1)).alias("n"))
 
 
-def conversation_state(stream: DataFrame, by: str, order: str, scalars: list[str], minutes: int = 60) -> DataFrame:
-    """(by, turn_count, scalars): state of each conversation after every micro-batch, dropped after ``minutes`` of silence.
+def conversation_state(stream: DataFrame, by: str, order: str, scalars: list[str], minutes: int | None = None) -> DataFrame:
+    """(by, turn_count, scalars): state of each conversation after every micro-batch, dropped after ``minutes`` of silence, if
+    given (a stream with such a limit never ends by itself, as it waits for the silence).
 
     Within a batch turns are taken in order; a scalar keeps the last value told."""
     out = f"{by} string, turn_count long, " + ", ".join(f"{c} string" for c in scalars)
@@ -53,11 +54,12 @@ def conversation_state(stream: DataFrame, by: str, order: str, scalars: list[str
             told = [v for v in turns[c] if v is not None and v != ""]
             held[k] = told[-1] if told else held[k]
         state.update((count + len(turns), *held))
-        state.setTimeoutDuration(minutes * 60_000)
+        if minutes:
+            state.setTimeoutDuration(minutes * 60_000)
         yield pd.DataFrame([(str(key[0]), count + len(turns), *held)], columns=[by, "turn_count", *scalars])
 
     held_schema = "turn_count long, " + ", ".join(f"{c} string" for c in scalars)
-    return stream.select(F.col(by).cast("string").alias(by), order, *scalars).groupBy(by).applyInPandasWithState(update, out, held_schema, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.select(F.col(by).cast("string").alias(by), order, *scalars).groupBy(by).applyInPandasWithState(update, out, held_schema, "update", GroupStateTimeout.ProcessingTimeTimeout if minutes else GroupStateTimeout.NoTimeout)
 
 
 def run_once(df: DataFrame, mode: str = "complete") -> DataFrame:
