@@ -40,7 +40,8 @@ def read_pages(files: DataFrame, reader: Callable[[bytes, str], list[str]]) -> D
                     rows += [(doc, i + 1, "text" if len((t or "").strip()) >= SELECTABLE else "image", t, None) for i, t in enumerate(reader(bytes(content), form))]
                 except Exception as error:  # one file's failure must not end the job
                     rows.append((doc, None, None, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "mode", "text", "error"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "page_num", "mode", "text", "error"])
 
     return files.select("doc_id", "content", "format").mapInPandas(run, "doc_id string, page_num int, mode string, text string, error string")
 
