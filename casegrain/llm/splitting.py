@@ -71,6 +71,10 @@ def _candidates(text: str, room: int) -> tuple[np.ndarray, np.ndarray]:
                         while x > c + 1 and _joins(text, x):
                             x -= 1
                         best.setdefault(x, CHARACTER)
+    at = [0, *sorted(best), n]
+    for a, b in zip(at, at[1:]):  # a run of marks longer than the room must be cut all the same
+        for x in range(a + room, b, room):
+            best[x] = CHARACTER
     pos = np.array([0, *sorted(best), n])
     return pos, np.array([0.0, *(best[p] for p in pos[1:-1].tolist()), 0.0])
 
