@@ -237,7 +237,7 @@ def _merge_clusters(p: DataFrame) -> DataFrame:
     """A profile for each cluster: all its spellings and letters."""
     keep = lambda c: F.array_sort(F.collect_set(c))
     return p.groupBy("cluster").agg(
-        F.first("kind").alias("kind"), F.first("type").alias("type"), keep("family").alias("families"),
+        F.first("kind").alias("kind"), F.first("type").alias("type"), keep("family").alias("families"), F.mode("family", True).alias("core"),
         F.array_sort(F.array_distinct(F.concat(F.collect_set("given"), F.collect_set("alias")))).alias("givens"),
         keep("first").alias("firsts"), keep("middle").alias("middles"), F.count(F.lit(1)).alias("n"),
     )
@@ -264,13 +264,14 @@ def _any_close(a: str, b: str) -> Column:
 def _step(p: DataFrame, phase: str) -> DataFrame:
     """(cluster, to): merges of one round; a cluster is named by its smallest string's number."""
     c = _merge_clusters(p)
-    keys = c.withColumn("_f", F.explode("families")).withColumn("_key", F.explode(_without_one("_f"))).select(
-        "cluster", "kind", "type", "families", "givens", "firsts", "middles", "n", "_key"
-    ).distinct()
-    a = keys.select(*[F.col(x).alias("a_" + x) for x in ("cluster", "families", "givens", "firsts", "middles", "n")], "kind", "type", "_key")
-    b = keys.select(*[F.col(x).alias("b_" + x) for x in ("cluster", "families", "givens", "firsts", "middles", "n")], "kind", "type", "_key")
-    same_family = F.arrays_overlap("a_families", "b_families")
-    slip = same_family | F.exists("a_families", lambda x: F.exists("b_families", lambda y: _slip(x, y)))
+    held = ["cluster", "core", "families", "givens", "firsts", "middles", "n"]
+    keys = c.withColumn("_f", F.explode("families")).withColumn("_key", F.explode(_without_one("_f"))).select("kind", "type", "_key", *held).distinct()
+    a = keys.select(*[F.col(x).alias("a_" + x) for x in held], "kind", "type", "_key")
+    b = keys.select(*[F.col(x).alias("b_" + x) for x in held], "kind", "type", "_key")
+    # A family name is the same if one's usual spelling is among the other's; slips count between usual spellings
+    # only, so that a misspelling between two names can't join them.
+    same_family = F.array_contains(F.col("b_families"), F.col("a_core")) | F.array_contains(F.col("a_families"), F.col("b_core"))
+    slip = same_family | _slip(F.col("a_core"), F.col("b_core"))
     free = lambda x: F.size(x) == 0
     middle_ok = free("a_middles") | free("b_middles") | F.arrays_overlap("a_middles", "b_middles")
     middle_same = F.arrays_overlap("a_middles", "b_middles")
@@ -279,8 +280,13 @@ def _step(p: DataFrame, phase: str) -> DataFrame:
         # Both sides know a given name (or trade).
         pairs = a.join(b, ["kind", "type", "_key"]).where("a_cluster != b_cluster").where(
             ~free("a_givens") & ~free("b_givens") & middle_ok & (same_family | (few & slip))
-        ).where(_any_close("a_givens", "b_givens")).select("a_cluster", "b_cluster").distinct()
-        return pairs.where("b_cluster < a_cluster").groupBy(F.col("a_cluster").alias("cluster")).agg(F.min("b_cluster").alias("to"))
+        ).where(_any_close("a_givens", "b_givens")).select("a_cluster", "b_cluster", "a_n", "b_n", same_family.alias("same")).distinct()
+        equal = pairs.where("same AND b_cluster < a_cluster").groupBy(F.col("a_cluster").alias("cluster")).agg(F.min("b_cluster").alias("to"))
+        slips = (
+            pairs.where("NOT same AND a_n <= 3 AND (b_n > a_n OR (b_n = a_n AND b_cluster < a_cluster))").groupBy(F.col("a_cluster").alias("cluster"))
+            .agg(F.max_by("b_cluster", F.struct("b_n", -F.col("b_cluster"))).alias("to"))
+        )
+        return equal.unionByName(slips.join(equal, "cluster", "left_anti"))
     # One side knows initials, or the family name only: it goes where there is one place to go.
     if phase == "initials":
         fits = free("a_givens") & ~free("a_firsts") & F.arrays_overlap("a_firsts", "b_firsts") & middle_ok & (same_family | (few & slip))
