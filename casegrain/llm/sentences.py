@@ -7,7 +7,8 @@ that of an event followed by a sentence's opening, and forward-backward posterio
 The model is learnt from the corpus itself. Blank lines are known boundaries, so how often a word
 stands at a paragraph's end against its other places tells how likely an event follows it, and the
 paragraphs' openings tell how sentences begin; expectation-maximisation over all documents refines
-both. Counts live in hashed tables of a fixed number of buckets, so what is collected and sent to the
+both. Its rounds read no text: what decides a gap are the words around it and the gaps next to it, so the first
+pass leaves the distinct stretches of neighbouring gaps with their number. Counts live in hashed tables of a fixed number of buckets, so what is collected and sent to the
 workers does not grow with the corpus.
 
 A blank line always ends a sentence; inside quotation marks and brackets there is no boundary; a
@@ -29,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegrain.functions.lineage import cut
+
 BUCKETS = 1 << 21
 ROUNDS = 2
-#: Most documents that the rounds of the fit run over.
-FIT_DOCS = 20_000
+#: Distinct stretches of gaps held in a worker before they are passed on.
+HELD = 200_000
 
 _BLANK = re.compile(r"\n[^\S\n]*(?=\n)")
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
@@ -214,23 +217,51 @@ def _known(q: Paragraph, n: Counter) -> None:
             n[("uc\x1f" if q.cases[i] > 0 else "lc\x1f") + right[i]] += 1
 
 
-def _expected(q: Paragraph, model: "Model", post: list[float], n: Counter) -> None:
-    """Counts of the likelier case in each gap."""
+#: Stands for a word where there is none; words hold no white space, to which these belong.
+_NONE, _FIELD, _GAP = "\x1d", "\x1f", "\x1e"
+
+
+class Stretch:
+    """Neighbouring gaps by their words alone; gaps further off don't bear on them."""
+
+    __slots__ = ("gaps", "raw")
+
+    def __init__(self, text: str):
+        self.raw = [tuple(g.split(_FIELD)) for g in text.split(_GAP)]
+        self.gaps = list(range(len(self.raw)))
+
+
+def _stretches(q: Paragraph) -> Iterator[str]:
+    """The paragraph's gaps as text, those of neighbouring gaps together."""
+    held: list[str] = []
+    for k, i in enumerate(q.gaps):
+        if held and q.gaps[k - 1] != i - 1:
+            yield _GAP.join(held)
+            held = []
+        held.append(_FIELD.join((
+            q.left[i - 1] if i else _NONE, q.left[i], q.right[i + 1], q.right[i + 2] if i + 2 < len(q.right) else _NONE, q.shape[k], str(q.case[k]),
+        )))
+    if held:
+        yield _GAP.join(held)
+
+
+def _expected(q: Stretch, model: "Model", post: list[float], n: Counter, times: int) -> None:
+    """Counts of the likelier case in each gap of a stretch that occurs so many times."""
     for k, e in enumerate(post):
         u, v, x, y, s, _ = model.context(q, k)
         if e > 0.5:
-            n["o\x1f" + x] += 1
-            n["O"] += 1
-            n[f"o2\x1f{x}\x1f{y}"] += 1
-            n[f"e2\x1f{u}\x1f{v}"] += 1
+            n["o\x1f" + x] += times
+            n["O"] += times
+            n[f"o2\x1f{x}\x1f{y}"] += times
+            n[f"e2\x1f{u}\x1f{v}"] += times
         else:
-            n[f"c2\x1f{u}\x1f{v}\x1f{x}"] += 1
-            n[f"c1\x1f{v}\x1f{x}"] += 1
-            n["cv\x1f" + v] += 1
-            n[f"c0\x1f{s}\x1f{x}"] += 1
-            n["cs\x1f" + s] += 1
-            n[f"d\x1f{v}\x1f{x}\x1f{y}"] += 1
-        n[f"n2\x1f{u}\x1f{v}"] += 1
+            n[f"c2\x1f{u}\x1f{v}\x1f{x}"] += times
+            n[f"c1\x1f{v}\x1f{x}"] += times
+            n["cv\x1f" + v] += times
+            n[f"c0\x1f{s}\x1f{x}"] += times
+            n["cs\x1f" + s] += times
+            n[f"d\x1f{v}\x1f{x}\x1f{y}"] += times
+        n[f"n2\x1f{u}\x1f{v}"] += times
 
 
 # ---------------------------------------------------------------- the model
@@ -269,9 +300,12 @@ class Model:
             self.names[(w, left)] = got
         return got
 
-    def context(self, q: Paragraph, k: int) -> tuple:
+    def context(self, q: Paragraph | Stretch, k: int) -> tuple:
         """(word before the last, last word, next, next but one, shape, case) of a gap."""
         i, seen = q.gaps[k], self.seen
+        if isinstance(q, Stretch):
+            u, v, x, y, s, case = q.raw[k]
+            return "<s>" if u == _NONE else seen(u, True), seen(v, True), seen(x, False), "</p>" if y == _NONE else seen(y, False), s, int(case)
         return (
             seen(q.left[i - 1], True) if i else "<s>", seen(q.left[i], True), seen(q.right[i + 1], False),
             seen(q.right[i + 2], False) if i + 2 < len(q.right) else "</p>", q.shape[k], q.case[k],
@@ -351,10 +385,10 @@ class Model:
         self.kept[c] = (without, event_path)
         return without, event_path
 
-    def first_guess(self, q: Paragraph) -> list[float]:
+    def first_guess(self, q: Paragraph | Stretch) -> list[float]:
         return [self.prior(self.context(q, k)) for k in range(len(q.gaps))]
 
-    def posteriors(self, q: Paragraph) -> list[float]:
+    def posteriors(self, q: Paragraph | Stretch) -> list[float]:
         """Forward-backward over the gaps; the state is whether an event stands in the gap. It reaches
         the next gap only where that follows after a single word, whose history then is the opening."""
         m = len(q.gaps)
@@ -388,44 +422,84 @@ class Model:
 # ---------------------------------------------------------------- over a corpus
 
 
-def _gather(docs: DataFrame, text_col: str, tables: list, first: bool) -> np.ndarray:
-    """One pass over all texts: hashed counts, added up by bucket."""
+def _buckets(n: Counter) -> pd.DataFrame:
+    """Hashed counts, added up by bucket."""
+    out: Counter = Counter()
+    for key, v in n.items():
+        out[xxhash.xxh32_intdigest(key) % BUCKETS] += v
+    n.clear()
+    return pd.DataFrame({"bucket": pd.array(list(out), dtype="Int32"), "stretch": None, "n": list(out.values())})
+
+
+def _read(docs: DataFrame, text_col: str) -> DataFrame:
+    """(bucket, stretch, n): the one pass over all texts of the fit. A row is a bucket of the counts that need
+    no posterior, or a distinct stretch of neighbouring gaps."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(tables[0].value) if tables else None
-        out = np.zeros(BUCKETS, dtype=np.float32)
+        known: Counter = Counter()
+        gaps: Counter = Counter()
+
+        def told() -> pd.DataFrame:
+            out = pd.DataFrame({"bucket": pd.array([None] * len(gaps), dtype="Int32"), "stretch": list(gaps), "n": list(gaps.values())})
+            gaps.clear()
+            return out
+
         for b in batches:
-            n: Counter = Counter()
             for text in b[text_col]:
-                if not text:
-                    continue
-                for q in parse(text):
-                    if model is None:
-                        _known(q, n)
-                    else:
-                        _expected(q, model, model.first_guess(q) if first else model.posteriors(q), n)
-            for key, v in n.items():
-                out[xxhash.xxh32_intdigest(key) % BUCKETS] += v
-        there = np.nonzero(out)[0]
-        yield pd.DataFrame({"bucket": there.astype("int32"), "n": out[there].astype("float64")})
-
-    rows = docs.select(text_col).mapInPandas(run, "bucket int, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+                if text:
+                    for q in parse(text):
+                        _known(q, known)
+                        gaps.update(_stretches(q))
+            if len(gaps) > HELD:
+                yield told()
+            if len(known) > 5 * HELD:
+                yield _buckets(known)
+        if gaps:
+            yield told()
+        if known:
+            yield _buckets(known)
+
+    rows = docs.select(text_col).mapInPandas(run, "bucket int, stretch string, n long")
+    return cut(rows.groupBy("bucket", "stretch").agg(F.sum("n").alias("n")))
+
+
+def _table(rows: DataFrame) -> np.ndarray:
+    """The counts of (bucket, n) rows."""
+    got = rows.toPandas()
     out = np.zeros(BUCKETS, dtype=np.float32)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    out[got["bucket"].to_numpy(dtype="int64")] = got["n"].to_numpy(dtype="float64")
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, fit_docs: int = FIT_DOCS) -> np.ndarray:
-    """The model's table, of BUCKETS numbers. The corpus counts are taken over every text; the rounds of
-    expectation-maximisation run over at most about ``fit_docs`` documents, chosen by hash."""
+def _round(stretches: DataFrame, shared, first: bool) -> np.ndarray:
+    """One round of expectation-maximisation over all stretches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model(shared.value)
+        n: Counter = Counter()
+        for b in batches:
+            for text, times in zip(b["stretch"], b["n"].tolist()):
+                q = Stretch(text)
+                _expected(q, model, model.first_guess(q) if first else model.posteriors(q), n, times)
+            if len(n) > 5 * HELD:
+                yield _buckets(n)[["bucket", "n"]]
+        if n:
+            yield _buckets(n)[["bucket", "n"]]
+
+    return _table(stretches.mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+
+
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+    """The model's table, of BUCKETS numbers. The counts and all rounds of expectation-maximisation are taken
+    over every text."""
     sc = docs.sparkSession.sparkContext
-    known = _gather(docs, text_col, [], False)
-    part = min(1.0, fit_docs / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(part * 1_000_000))
+    read = _read(docs, text_col)
+    known = _table(read.where("bucket IS NOT NULL").select("bucket", "n"))
+    stretches = read.where("stretch IS NOT NULL").select("stretch", "n")
     table = known
     for k in range(rounds):
         shared = sc.broadcast(table)
-        table = known + _gather(chosen, text_col, [shared], k == 0)
+        table = known + _round(stretches, shared, k == 0)
         shared.unpersist()
     return table
 
@@ -448,7 +522,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     Null, empty and blank texts have no sentence; repeated rows give their sentences once."""
     if table is None:
-        table = fit(docs, id_col, text_col)
+        table = fit(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("array<struct<a int, b int>>")
