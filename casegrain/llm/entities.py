@@ -22,8 +22,6 @@ from pyspark.sql import types as T
 
 from casegrain.functions.lineage import cut
 
-ROUNDS = 18
-
 # Titles, words for representatives and unnamed co-parties, forms of firms, abbreviations.
 _TAIL = re.compile(
     r"\s*[,(]?\s*(?:(?<!\w)(?:rep(resented|d)?\b\.?\s+(by|through)|through\s+(its|the)|by\s+(its|lrs?|legal)|(s|d|w|c)/o\b|son of|daughter of|wife of"
@@ -317,22 +315,23 @@ def resolve(names: DataFrame) -> DataFrame:
     """(kind, name, cluster) of every distinct string of ``names`` (kind, name).
 
     Null and blank strings are left out; repeated rows count once. A string of which nothing can be read
-    stays alone. The rounds end when one merges nothing, or after ROUNDS."""
+    stays alone. The rounds end when no phase merges anything: every other round leaves fewer clusters."""
     clean = names.where(F.trim(F.coalesce("name", F.lit(""))) != "").select("kind", "name").distinct()
     alike = ["kind", "type", "family", "given", "alias", "first", "middle"]
     read = profiles(clean)
     p = cut(read.withColumn("cluster", F.xxhash64(*alike, F.when(F.col("type") == "other", F.col("name")))))
-    idle = 0
-    for k in range(ROUNDS):
-        phase = ("full", "initials", "family")[k % 3]
-        links = cut(_follow(_step(p.where("type != 'other'"), phase)))
+    idle = k = 0
+    while idle < 3:
+        links = cut(_step(p.where("type != 'other'"), ("full", "initials", "family")[k % 3]))
+        k += 1
         if links.isEmpty():
             idle += 1
-            if idle >= 3:
-                break
             continue
         idle = 0
-        p = cut(p.join(links, "cluster", "left").withColumn("cluster", F.coalesce("to", "cluster")).drop("to"))
+        moves = _follow(links)
+        if moves.isEmpty():  # all are in rings or lead into them: those that point downwards are no ring
+            moves = _follow(links.where("cluster > to"))
+        p = cut(p.join(moves, "cluster", "left").withColumn("cluster", F.coalesce("to", "cluster")).drop("to"))
     return p.select("kind", "name", "cluster")
 
 
