@@ -3,11 +3,13 @@
 Every distinct string is read into a profile: what kind of party it is, the family name (or a firm's
 own word, or the State), the given names (or a firm's trade), their first letters and the middle letters (or a firm's
 form). Profiles that agree are merged: the merged profile holds the spellings and initials of all its
-strings. The richer profiles enter blocking again, until a round merges nothing.
+strings. The richer profiles enter blocking again, until a round over all profiles merges nothing.
 
 Which words are given names, family names or trades is learnt from the strings themselves: "A K. B", "B, A",
 "A. K. B" and forms of firms fix the role of their words, and the roles decide the strings that can't tell.
-Blocking is by family name without one letter, so any single error keeps a common key.
+Blocking is by family name without one letter, so any single error in a name of four letters or more keeps a
+common key, together with the first or the last letter of a given name, so a frequent family name is split. After
+the first round only merged profiles look for full matches again.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ SHAPE = T.StructType(
         T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("type", T.StringType()),
         T.StructField("words", T.ArrayType(T.StringType())), T.StructField("letters", T.ArrayType(T.StringType())),
         T.StructField("alias", T.StringType()), T.StructField("form", T.StringType()), T.StructField("family", T.StringType()),
-        T.StructField("given", T.StringType()), T.StructField("plain", T.ArrayType(T.StringType())),
+        T.StructField("given", T.StringType()), T.StructField("plain", T.ArrayType(T.StringType())), T.StructField("rows", T.LongType()),
     ]
 )
 
@@ -93,15 +95,17 @@ def read_name(kind: str, name: str) -> dict:
         parts = [p for p in re.split(r",", text) if p.strip()]
         if len(parts) == 2:
             text = parts[1] + " " + parts[0]
-        text = re.sub(r"\b(?:[A-Za-z]\.){2,}[A-Za-z]?(?![A-Za-z])", lambda m: m.group().replace(".", ""), text)
+        dotted = r"\b(?:[A-Za-z]\.){2,}[A-Za-z]?(?![A-Za-z])"
+        initials = {m.replace(".", "").lower() for m in re.findall(dotted, text)}
+        text = re.sub(dotted, lambda m: m.group().replace(".", ""), text)
         words = [re.sub(r"[^a-z]", "", w.lower()) for w in re.split(r"[\s\-/&()]+|(?<=\.)(?=[A-Za-z])", text)]
         words = [ABBREVIATIONS.get(w, w) for w in words if w and w not in ("the", "and", "of", "m", "s")]
         if not words:
             return out | {"type": "other", "words": [name]}
         if "state" in words[1:]:
             k = words.index("state", 1)
-        elif re.fullmatch(r"s[a-z]cc", words[-1]) and len(words) > 1:
-            k = len(words) - 1
+        elif len(words) > 1 and len(words[-1]) > 2 and words[-1] in initials:
+            k = len(words) - 1  # a place and the initials of what is the State's
         else:
             k = 1
         return out | {"words": words, "family": sound("".join(words[:k])), "given": " ".join(words[k:]) or None}
@@ -135,9 +139,9 @@ def read_name(kind: str, name: str) -> dict:
 def _read(names: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([read_name(k, n) for k, n in zip(b["kind"], b["name"])], columns=SHAPE.names)
+            yield pd.DataFrame([read_name(k, n) | {"rows": r} for k, n, r in zip(b["kind"], b["name"], b["rows"])], columns=SHAPE.names)
 
-    return names.select("kind", "name").mapInPandas(run, SHAPE)
+    return (names if "rows" in names.columns else names.withColumn("rows", F.lit(1))).select("kind", "name", "rows").mapInPandas(run, SHAPE)
 
 
 def _roles(read: DataFrame) -> DataFrame:
@@ -181,7 +185,7 @@ def _trades(read: DataFrame) -> DataFrame:
 
 
 def profiles(names: DataFrame) -> DataFrame:
-    """(kind, name, type, family, given, alias, first, middle): one row for each distinct string."""
+    """(kind, name, type, family, given, alias, first, middle, rows): one row for each distinct string."""
     raw = _read(names)
     return (
         _roles(_trades(raw))
@@ -198,7 +202,7 @@ def profiles(names: DataFrame) -> DataFrame:
         )
         .withColumn("first", F.nullif(F.translate("first", "wqc", "vkk"), F.lit("")))
         .withColumn("middle", F.when(F.col("type") == "person", F.translate("middle", "wqc", "vkk")).otherwise(F.col("middle")))
-        .select("kind", "name", "type", "family", "given", "alias", "first", "middle")
+        .select("kind", "name", "type", "family", "given", "alias", "first", "middle", "rows")
     )
 
 
@@ -206,7 +210,7 @@ def _without_one(c: str) -> Column:
     """The word and the word without each of its letters."""
     n = F.length(c)
     return F.array_distinct(
-        F.concat(F.array(F.col(c)), F.when(n >= 6, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))).otherwise(F.array().cast("array<string>")))
+        F.concat(F.array(F.col(c)), F.when(n >= 4, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))).otherwise(F.array().cast("array<string>")))
     )
 
 
@@ -232,13 +236,14 @@ def _slip(x: Column, y: Column) -> Column:
 
 
 def _merge_clusters(p: DataFrame) -> DataFrame:
-    """A profile for each cluster: all its spellings and letters."""
+    """A profile for each cluster: all its spellings and letters; ``changed`` if a string came to it in the last round."""
     keep = lambda c: F.array_sort(F.collect_set(c))
+    by_rows = p.groupBy("cluster", "family").agg(F.sum("n").alias("_n")).groupBy("cluster").agg(F.max_by("family", F.struct("_n", "family")).alias("core"))
     return p.groupBy("cluster").agg(
-        F.first("kind").alias("kind"), F.first("type").alias("type"), keep("family").alias("families"), F.mode("family", True).alias("core"),
+        F.first("kind").alias("kind"), F.first("type").alias("type"), keep("family").alias("families"),
         F.array_sort(F.array_distinct(F.concat(F.collect_set("given"), F.collect_set("alias")))).alias("givens"),
-        keep("first").alias("firsts"), keep("middle").alias("middles"), F.count(F.lit(1)).alias("n"),
-    )
+        keep("first").alias("firsts"), keep("middle").alias("middles"), F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.bool_or("moved").alias("changed"),
+    ).join(by_rows, "cluster")
 
 
 def _any_close(a: str, b: str) -> Column:
@@ -259,49 +264,62 @@ def _any_close(a: str, b: str) -> Column:
     return F.exists(F.col(a), lambda x: F.exists(F.col(b), lambda y: pair(x, y)))
 
 
-def _step(p: DataFrame, phase: str) -> DataFrame:
-    """(cluster, to): merges of one round; a cluster is named by its smallest string's number."""
-    c = _merge_clusters(p)
-    held = ["cluster", "core", "families", "givens", "firsts", "middles", "n"]
-    keys = c.withColumn("_f", F.explode("families")).withColumn("_key", F.explode(_without_one("_f"))).select("kind", "type", "_key", *held).distinct()
-    a = keys.select(*[F.col(x).alias("a_" + x) for x in held], "kind", "type", "_key")
-    b = keys.select(*[F.col(x).alias("b_" + x) for x in held], "kind", "type", "_key")
+#: A misspelling is far rarer than what it is meant for; up to FEW different strings nothing can be said of that.
+FEW, RARER = 3, 0.1
+_HELD = ["cluster", "core", "families", "givens", "firsts", "middles", "n", "rows"]
+
+
+def _blocks(c: DataFrame) -> DataFrame:
+    """(kind, type, key, cluster): family names without one letter, with each first and each last letter of a given name."""
+    letter = lambda x, at: F.translate(F.substring(x, at, 1), "wqc", "vkk")
+    tags = F.array_distinct(F.concat(
+        F.transform("firsts", lambda x: F.concat(F.lit("<"), x)), F.transform("givens", lambda x: F.concat(F.lit("<"), letter(x, 1))),
+        F.transform("givens", lambda x: F.concat(F.lit(">"), letter(x, -1))),
+    ))
+    keys = c.select("kind", "type", "cluster", F.explode("families").alias("_f"), tags.alias("_tags"))
+    keys = keys.select("kind", "type", "cluster", F.explode(_without_one("_f")).alias("_k"), "_tags").select("kind", "type", "cluster", "_k", F.explode("_tags").alias("_t"))
+    return keys.select("kind", "type", F.concat("_k", "_t").alias("key"), "cluster").distinct()
+
+
+def _links(c: DataFrame, whole: bool, phases: int = 3) -> DataFrame:
+    """(cluster, to): the merges of a round over the profiles ``c``; ``whole`` also looks at full matches of unchanged ones.
+
+    Of the three kinds of merges the first ``phases`` are looked for: full names, initials, family names only."""
+    free = lambda x: F.size(x) == 0
+    asks = free("givens") if not whole else F.lit(True)
+    blocks = _blocks(c)
+    asking = blocks.join(c.where(F.col("changed") | asks).select("cluster"), "cluster", "left_semi").withColumnRenamed("cluster", "a_cluster")
+    side = lambda x: c.select(*[F.col(h).alias(f"{x}_{h}") for h in _HELD])
+    met = asking.join(blocks.withColumnRenamed("cluster", "b_cluster"), ["kind", "type", "key"]).where("a_cluster != b_cluster").select("a_cluster", "b_cluster")
+    if phases > 2:
+        lone = c.where(free("givens") & free("firsts")).select("kind", "type", F.col("cluster").alias("a_cluster"), F.explode("families").alias("family"))
+        there = c.select("kind", "type", F.col("cluster").alias("b_cluster"), F.explode("families").alias("family"))
+        met = met.unionByName(lone.join(there, ["kind", "type", "family"]).where("a_cluster != b_cluster").select("a_cluster", "b_cluster"))
+    pairs = met.distinct().join(side("a"), "a_cluster").join(side("b"), "b_cluster")
     # A family name is the same if one's usual spelling is among the other's; slips count between usual spellings
     # only, so that a misspelling between two names can't join them.
-    same_family = F.array_contains(F.col("b_families"), F.col("a_core")) | F.array_contains(F.col("a_families"), F.col("b_core"))
+    same_family = F.array_contains("b_families", F.col("a_core")) | F.array_contains("a_families", F.col("b_core"))
     slip = same_family | _slip(F.col("a_core"), F.col("b_core"))
-    free = lambda x: F.size(x) == 0
     middle_ok = free("a_middles") | free("b_middles") | F.arrays_overlap("a_middles", "b_middles")
-    middle_same = F.arrays_overlap("a_middles", "b_middles")
-    few = F.least("a_n", "b_n") <= 3
-    if phase == "full":
-        # Both sides know a given name (or trade).
-        pairs = a.join(b, ["kind", "type", "_key"]).where("a_cluster != b_cluster").where(
-            ~free("a_givens") & ~free("b_givens") & middle_ok & (same_family | (few & slip))
-        ).where(_any_close("a_givens", "b_givens")).select("a_cluster", "b_cluster", "a_n", "b_n", same_family.alias("same")).distinct()
-        equal = pairs.where("same AND b_cluster < a_cluster").groupBy(F.col("a_cluster").alias("cluster")).agg(F.min("b_cluster").alias("to"))
-        slips = (
-            pairs.where("NOT same AND a_n <= 3 AND (b_n > a_n OR (b_n = a_n AND b_cluster < a_cluster))").groupBy(F.col("a_cluster").alias("cluster"))
-            .agg(F.max_by("b_cluster", F.struct("b_n", -F.col("b_cluster"))).alias("to"))
-        )
-        return equal.unionByName(slips.join(equal, "cluster", "left_anti"))
+    few = (F.least("a_n", "b_n") <= FEW) | (F.least("a_rows", "b_rows") <= RARER * F.greatest("a_rows", "b_rows"))
+    full = ~free("a_givens") & ~free("b_givens") & middle_ok & (same_family | (few & slip)) & _any_close("a_givens", "b_givens")
     # One side knows initials, or the family name only: it goes where there is one place to go.
-    if phase == "initials":
-        fits = free("a_givens") & ~free("a_firsts") & F.arrays_overlap("a_firsts", "b_firsts") & middle_ok & (same_family | (few & slip))
-    else:
-        fits = free("a_givens") & free("a_firsts") & same_family
-    pairs = a.join(b, ["kind", "type", "_key"]).where("a_cluster != b_cluster").where(fits).select(
-        "a_cluster", "b_cluster", same_family.alias("same"), middle_same.alias("mid"), free("b_givens").alias("bare"), "a_middles", "b_middles"
-    ).distinct()
-    # Prefer the same family name and the same middle letter; among what is left there must be one.
-    ranked = pairs.withColumn("rank", F.when(F.col("same"), 0).otherwise(4) + F.when(F.coalesce("mid", F.lit(False)), 0).otherwise(2) + F.col("bare").cast("int"))
-    best = ranked.groupBy("a_cluster").agg(F.min("rank").alias("rank"))
-    only = (
-        ranked.join(best, ["a_cluster", "rank"]).groupBy("a_cluster")
-        .agg(F.min("b_cluster").alias("to"), F.count_distinct("b_cluster").alias("m"), F.max("rank").alias("rank"))
-        .where("m = 1")
+    initials = free("a_givens") & ~free("a_firsts") & F.arrays_overlap("a_firsts", "b_firsts") & middle_ok & (same_family | (few & slip))
+    alone = free("a_givens") & free("a_firsts") & same_family
+    kind = F.when(full, 1).when(initials & F.lit(phases > 1), 2).when(alone & F.lit(phases > 2), 3)
+    rank = F.when(same_family, 0).otherwise(4) + F.when(F.coalesce(F.arrays_overlap("a_middles", "b_middles"), F.lit(False)), 0).otherwise(2) + free("b_givens").cast("int")
+    told = cut(pairs.select("a_cluster", "b_cluster", "a_n", "b_n", kind.alias("kind"), same_family.alias("same"), rank.alias("rank")).where("kind IS NOT NULL"))
+    both = told.where("kind = 1").select("a_cluster", "b_cluster", "a_n", "b_n", "same")
+    both = both.unionByName(both.select(F.col("b_cluster").alias("a_cluster"), F.col("a_cluster").alias("b_cluster"), F.col("b_n").alias("a_n"), F.col("a_n").alias("b_n"), "same"))
+    lighter = (F.col("b_n") > F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_cluster") < F.col("a_cluster")))
+    down = F.when(F.col("same") & (F.col("b_cluster") < F.col("a_cluster")), F.col("b_cluster"))
+    named = both.groupBy(F.col("a_cluster").alias("cluster")).agg(
+        F.min(down).alias("_same"), F.max_by(F.when(~F.col("same") & lighter, F.col("b_cluster")), F.when(~F.col("same") & lighter, F.struct("b_n", -F.col("b_cluster")))).alias("_slip")
     )
-    return only.select(F.col("a_cluster").alias("cluster"), "to")
+    # Prefer the same family name and the same middle letter; among what is left there must be one.
+    best = told.where("kind > 1").groupBy("a_cluster", "rank").agg(F.min("b_cluster").alias("to"), F.max("b_cluster").alias("_other")).groupBy("a_cluster").agg(F.min(F.struct("rank", "to", "_other")).alias("_b"))
+    only = best.where("_b.to = _b._other").select(F.col("a_cluster").alias("cluster"), F.col("_b.to").alias("to"))
+    return named.select("cluster", F.coalesce("_same", "_slip").alias("to")).where("to IS NOT NULL").unionByName(only)
 
 
 def _follow(links: DataFrame) -> DataFrame:
@@ -316,23 +334,29 @@ def resolve(names: DataFrame) -> DataFrame:
 
     Null and blank strings are left out; repeated rows count once. A string of which nothing can be read
     stays alone. The rounds end when no phase merges anything: every other round leaves fewer clusters."""
-    clean = names.where(F.trim(F.coalesce("name", F.lit(""))) != "").select("kind", "name").distinct()
+    clean = names.where(F.trim(F.coalesce("name", F.lit(""))) != "").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("rows"))
     alike = ["kind", "type", "family", "given", "alias", "first", "middle"]
-    read = profiles(clean)
-    p = cut(read.withColumn("cluster", F.xxhash64(*alike, F.when(F.col("type") == "other", F.col("name")))))
-    idle = k = 0
-    while idle < 3:
-        links = cut(_step(p.where("type != 'other'"), ("full", "initials", "family")[k % 3]))
+    strings = cut(profiles(clean).withColumn("start", F.xxhash64(*alike, F.when(F.col("type") == "other", F.col("name")))))
+    # Strings of one profile go together; the rounds see each profile once.
+    p = cut(
+        strings.where("type != 'other'").groupBy("start", *alike).agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+        .withColumn("cluster", F.col("start")).withColumn("moved", F.lit(True))
+    )
+    k, whole = 0, True
+    while True:
         k += 1
+        links = cut(_links(cut(_merge_clusters(p)), whole, k))
         if links.isEmpty():
-            idle += 1
+            if whole and k > 2:
+                break
+            whole = True  # nothing is left unless a look at all profiles finds it
             continue
-        idle = 0
         moves = _follow(links)
-        if moves.isEmpty():  # all are in rings or lead into them: those that point downwards are no ring
+        whole = moves.isEmpty()
+        if whole:  # all are in rings or lead into them: those that point downwards are no ring
             moves = _follow(links.where("cluster > to"))
-        p = cut(p.join(moves, "cluster", "left").withColumn("cluster", F.coalesce("to", "cluster")).drop("to"))
-    return p.select("kind", "name", "cluster")
+        p = cut(p.drop("moved").join(moves, "cluster", "left").withColumn("moved", F.col("to").isNotNull()).withColumn("cluster", F.coalesce("to", "cluster")).drop("to"))
+    return strings.join(p.select("start", "cluster"), "start", "left").select("kind", "name", F.coalesce("cluster", "start").alias("cluster"))
 
 
 def variant_pairs(resolved: DataFrame) -> DataFrame:

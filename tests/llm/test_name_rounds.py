@@ -6,9 +6,8 @@ from casegrain.llm import entities
 
 
 def fake(links):
-    def step(p, phase):
-        held = p.select("cluster").distinct()
-        return (links(held) if phase == "full" else held.withColumn("to", F.col("cluster")).limit(0)).where("to IS NOT NULL AND to != cluster")
+    def step(c, whole, phases):
+        return links(c.select("cluster")).where("to IS NOT NULL AND to != cluster")
 
     return step
 
@@ -22,6 +21,6 @@ def fake(links):
     ids=["chain longer than 18 rounds", "ring"],
 )
 def test_rounds_go_on_until_nothing_merges(spark, monkeypatch, names, links):
-    monkeypatch.setattr(entities, "_step", fake(links))
+    monkeypatch.setattr(entities, "_links", fake(links))
     df = spark.createDataFrame([("judge", f"{w} Rao") for w in "Anil Bimal Chetan Dinesh Eshan Farid Gopal Hari Ishan".split()[:names]], "kind string, name string")
     assert entities.resolve(df).select("cluster").distinct().count() == 1
