@@ -186,9 +186,8 @@ def _trades(read: DataFrame) -> DataFrame:
 
 def profiles(names: DataFrame) -> DataFrame:
     """(kind, name, type, family, given, alias, first, middle, rows): one row for each distinct string."""
-    raw = _read(names)
     return (
-        _roles(_trades(raw))
+        _roles(cut(_trades(cut(_read(names)))))
         .withColumn("_l", F.col("letters"))
         .withColumn(
             "first",
@@ -238,12 +237,12 @@ def _slip(x: Column, y: Column) -> Column:
 def _merge_clusters(p: DataFrame) -> DataFrame:
     """A profile for each cluster: all its spellings and letters; ``changed`` if a string came to it in the last round."""
     keep = lambda c: F.array_sort(F.collect_set(c))
-    by_rows = p.groupBy("cluster", "family").agg(F.sum("n").alias("_n")).groupBy("cluster").agg(F.max_by("family", F.struct("_n", "family")).alias("core"))
+    weight = lambda f: F.aggregate("_seen", F.lit(0).cast("long"), lambda t, x: t + F.when(x["family"] == f, x["n"]).otherwise(0))
     return p.groupBy("cluster").agg(
-        F.first("kind").alias("kind"), F.first("type").alias("type"), keep("family").alias("families"),
+        F.first("kind").alias("kind"), F.first("type").alias("type"), keep("family").alias("families"), F.collect_list(F.struct("family", "n")).alias("_seen"),
         F.array_sort(F.array_distinct(F.concat(F.collect_set("given"), F.collect_set("alias")))).alias("givens"),
         keep("first").alias("firsts"), keep("middle").alias("middles"), F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.bool_or("moved").alias("changed"),
-    ).join(by_rows, "cluster")
+    ).withColumn("core", F.array_max(F.transform("families", lambda f: F.struct(weight(f).alias("n"), f.alias("family"))))["family"]).drop("_seen")
 
 
 def _any_close(a: str, b: str) -> Column:
@@ -269,16 +268,21 @@ FEW, RARER = 3, 0.1
 _HELD = ["cluster", "core", "families", "givens", "firsts", "middles", "n", "rows"]
 
 
-def _blocks(c: DataFrame) -> DataFrame:
-    """(kind, type, key, cluster): family names without one letter, with each first and each last letter of a given name."""
+def _blocks(c: DataFrame, whole: bool) -> DataFrame:
+    """(kind, type, key, cluster, asks): family names without one letter, with each first and each last letter of a given name.
+
+    ``asks``: the cluster looks for others under this key. Clusters known by the family name only ask under the whole name."""
+    free = lambda x: F.size(x) == 0
     letter = lambda x, at: F.translate(F.substring(x, at, 1), "wqc", "vkk")
     tags = F.array_distinct(F.concat(
         F.transform("firsts", lambda x: F.concat(F.lit("<"), x)), F.transform("givens", lambda x: F.concat(F.lit("<"), letter(x, 1))),
         F.transform("givens", lambda x: F.concat(F.lit(">"), letter(x, -1))),
     ))
-    keys = c.select("kind", "type", "cluster", F.explode("families").alias("_f"), tags.alias("_tags"))
-    keys = keys.select("kind", "type", "cluster", F.explode(_without_one("_f")).alias("_k"), "_tags").select("kind", "type", "cluster", "_k", F.explode("_tags").alias("_t"))
-    return keys.select("kind", "type", F.concat("_k", "_t").alias("key"), "cluster").distinct()
+    asks = F.lit(True) if whole else F.col("changed") | free("givens")
+    keys = F.flatten(F.transform(_without_one("_f"), lambda k: F.transform("_tags", lambda t: F.struct(F.concat(k, t).alias("key"), F.col("_asks").alias("asks")))))
+    named = c.select("kind", "type", "cluster", F.explode("families").alias("_f"), tags.alias("_tags"), asks.alias("_asks"), (free("givens") & free("firsts")).alias("_lone"))
+    named = named.select("kind", "type", "cluster", F.explode(F.array_append(keys, F.struct(F.col("_f").alias("key"), F.col("_lone").alias("asks")))).alias("_k"))
+    return named.groupBy("kind", "type", F.col("_k.key").alias("key"), "cluster").agg(F.bool_or("_k.asks").alias("asks"))
 
 
 def _links(c: DataFrame, whole: bool, phases: int = 3) -> DataFrame:
@@ -286,16 +290,10 @@ def _links(c: DataFrame, whole: bool, phases: int = 3) -> DataFrame:
 
     Of the three kinds of merges the first ``phases`` are looked for: full names, initials, family names only."""
     free = lambda x: F.size(x) == 0
-    asks = free("givens") if not whole else F.lit(True)
-    blocks = _blocks(c)
-    asking = blocks.join(c.where(F.col("changed") | asks).select("cluster"), "cluster", "left_semi").withColumnRenamed("cluster", "a_cluster")
+    blocks = _blocks(c, whole)
     side = lambda x: c.select(*[F.col(h).alias(f"{x}_{h}") for h in _HELD])
-    met = asking.join(blocks.withColumnRenamed("cluster", "b_cluster"), ["kind", "type", "key"]).where("a_cluster != b_cluster").select("a_cluster", "b_cluster")
-    if phases > 2:
-        lone = c.where(free("givens") & free("firsts")).select("kind", "type", F.col("cluster").alias("a_cluster"), F.explode("families").alias("family"))
-        there = c.select("kind", "type", F.col("cluster").alias("b_cluster"), F.explode("families").alias("family"))
-        met = met.unionByName(lone.join(there, ["kind", "type", "family"]).where("a_cluster != b_cluster").select("a_cluster", "b_cluster"))
-    pairs = met.distinct().join(side("a"), "a_cluster").join(side("b"), "b_cluster")
+    met = blocks.where("asks").withColumnRenamed("cluster", "a_cluster").join(blocks.withColumnRenamed("cluster", "b_cluster"), ["kind", "type", "key"]).where("a_cluster != b_cluster")
+    pairs = met.select("a_cluster", "b_cluster").distinct().join(side("a"), "a_cluster").join(side("b"), "b_cluster")
     # A family name is the same if one's usual spelling is among the other's; slips count between usual spellings
     # only, so that a misspelling between two names can't join them.
     same_family = F.array_contains("b_families", F.col("a_core")) | F.array_contains("a_families", F.col("b_core"))
@@ -309,8 +307,8 @@ def _links(c: DataFrame, whole: bool, phases: int = 3) -> DataFrame:
     kind = F.when(full, 1).when(initials & F.lit(phases > 1), 2).when(alone & F.lit(phases > 2), 3)
     rank = F.when(same_family, 0).otherwise(4) + F.when(F.coalesce(F.arrays_overlap("a_middles", "b_middles"), F.lit(False)), 0).otherwise(2) + free("b_givens").cast("int")
     told = cut(pairs.select("a_cluster", "b_cluster", "a_n", "b_n", kind.alias("kind"), same_family.alias("same"), rank.alias("rank")).where("kind IS NOT NULL"))
-    both = told.where("kind = 1").select("a_cluster", "b_cluster", "a_n", "b_n", "same")
-    both = both.unionByName(both.select(F.col("b_cluster").alias("a_cluster"), F.col("a_cluster").alias("b_cluster"), F.col("b_n").alias("a_n"), F.col("a_n").alias("b_n"), "same"))
+    way = lambda x, y: F.struct(F.col(x + "_cluster").alias("a_cluster"), F.col(y + "_cluster").alias("b_cluster"), F.col(x + "_n").alias("a_n"), F.col(y + "_n").alias("b_n"), "same")
+    both = told.where("kind = 1").select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("_p")).select("_p.*")
     lighter = (F.col("b_n") > F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.col("b_cluster") < F.col("a_cluster")))
     down = F.when(F.col("same") & (F.col("b_cluster") < F.col("a_cluster")), F.col("b_cluster"))
     named = both.groupBy(F.col("a_cluster").alias("cluster")).agg(
@@ -329,6 +327,11 @@ def _follow(links: DataFrame) -> DataFrame:
     return links.join(back, "to", "left").where(F.col("_next").isNull() | mutual).select("cluster", "to")
 
 
+def _moved(p: DataFrame, moves: DataFrame) -> DataFrame:
+    """The profiles after a round of moves (cluster, to)."""
+    return p.drop("moved").join(moves, "cluster", "left").withColumn("moved", F.col("to").isNotNull()).withColumn("cluster", F.coalesce("to", "cluster")).drop("to")
+
+
 def resolve(names: DataFrame) -> DataFrame:
     """(kind, name, cluster) of every distinct string of ``names`` (kind, name).
 
@@ -345,17 +348,18 @@ def resolve(names: DataFrame) -> DataFrame:
     k, whole = 0, True
     while True:
         k += 1
-        links = cut(_links(cut(_merge_clusters(p)), whole, k))
-        if links.isEmpty():
-            if whole and k > 2:
+        links = _links(cut(_merge_clusters(p)), whole, k)
+        after = cut(_moved(p, _follow(links)))
+        if after.where("moved").isEmpty():
+            if not links.isEmpty():  # all are in rings or lead into them: those that point downwards are no ring
+                after, whole = cut(_moved(p, _follow(links.where("cluster > to")))), True
+            elif whole and k > 2:
                 break
-            whole = True  # nothing is left unless a look at all profiles finds it
-            continue
-        moves = _follow(links)
-        whole = moves.isEmpty()
-        if whole:  # all are in rings or lead into them: those that point downwards are no ring
-            moves = _follow(links.where("cluster > to"))
-        p = cut(p.drop("moved").join(moves, "cluster", "left").withColumn("moved", F.col("to").isNotNull()).withColumn("cluster", F.coalesce("to", "cluster")).drop("to"))
+            else:
+                whole = True  # nothing is left unless a look at all profiles finds it
+        else:
+            whole = False
+        p = after
     return strings.join(p.select("start", "cluster"), "start", "left").select("kind", "name", F.coalesce("cluster", "start").alias("cluster"))
 
 
