@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from casegrain.functions import text as T
 
 # What counts as a page number, a reader's mark, a margin letter.
-PAGE_NUMBER = r"^(\d+|-\s*\d+\s*-|(?i:page)\s+\d+(\s+(?i:of)\s+\d+)?|\[\d+\])$"
+PAGE_NUMBER = r"^(\p{Nd}+|-\s*\p{Nd}+\s*-|(?i:page)\s+\p{Nd}+(\s+(?i:of)\s+\p{Nd}+)?|\[\s*\p{Nd}+\s*\])$"
 READER_MARK = r"(?i)^---\s*page\s+\d+\s+of\s+\d+\s*---$"
 MARGIN_LETTER = r"^\s*[A-H]\s*$"
 EDGE_LINES, REPEAT_SHARE, LEAST_PAGES, DUPLICATES = 3, 0.4, 2, 3
@@ -36,11 +36,11 @@ def remove_page_numbers(c: Column) -> Column:
 
 
 def remove_margin_letters(c: Column) -> Column:
-    return T.join_lines(F.filter(T.lines(c), lambda x: ~x.rlike(MARGIN_LETTER) & ~x.rlike(r"(?i)^\s*---\s*page\s+\d+")))
+    return T.join_lines(F.filter(T.lines(c), lambda x: ~x.rlike(MARGIN_LETTER) & ~x.rlike(r"^\s*---\s*Page\s+\p{Nd}+")))
 
 
 def clean_document(c: Column) -> Column:
-    """All steps on a text whose pages are already joined."""
+    """The steps on a text whose pages are already joined; ``clean_documents`` starts from pages."""
     out = collapse_blank_lines(remove_page_numbers(collapse_spaces(strip_reader_marks(c))))
     return F.when(T.strip(c) == "", F.lit("")).otherwise(T.strip(out))
 
@@ -94,6 +94,32 @@ def remove_repeated_edges(pages: DataFrame, **names) -> DataFrame:
     )
 
 
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "\f") -> DataFrame:
+    """(id, text): texts whose pages are parted by ``by``, without reader's marks, recurring edge lines and page numbers,
+    with spaces and blank lines collapsed. A null or blank text gives the empty text."""
+    parted = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), by, -1)).alias("page_num", "_t"))
+    bare = remove_repeated_edges(parted.select("doc_id", "page_num", strip_reader_marks(F.col("_t")).alias("text")))
+    whole = bare.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_num", "text"))).alias("_p"))
+    joined = F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n")
+    return whole.select(F.col("doc_id").alias(id_col), T.strip(collapse_blank_lines(remove_page_numbers(collapse_spaces(joined)))).alias(text_col))
+
+
+def postprocess_pages(ocr_lines: DataFrame, pages: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(doc_id, page_num, text): recognised lines as paragraphs, corrected, spaces collapsed, marked where confidence is low.
+
+    ``pages`` (doc_id, page_num, confidence, is_low_confidence), one row a page; a page without a line is empty."""
+    text = ocr_whitespace(apply_corrections(F.coalesce("text", F.lit("")), rules))
+    joined = pages.join(paragraphs(ocr_lines), ["doc_id", "page_num"], "left")
+    return joined.select("doc_id", "page_num", annotate_low_confidence(text, F.coalesce("confidence", F.lit(0.0)), F.col("page_num"), F.coalesce("is_low_confidence", F.lit(False))).alias("text"))
+
+
+def postprocess_documents(pages: DataFrame) -> DataFrame:
+    """(doc_id, text): pages (doc_id, page_num, text) that aren't blank, joined, without lines that stand too often."""
+    some = pages.where(T.strip(F.coalesce("text", F.lit(""))) != "").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_num", "text"))).alias("_p"))
+    joined = some.select("doc_id", F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n").alias("text"))
+    return remove_duplicate_lines(joined).select("doc_id", ocr_whitespace(F.col("text")).alias("text"))
+
+
 def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DUPLICATES) -> DataFrame:
     """(id, text) without every line that stands more than ``most`` times in its document; blank lines stay."""
     rows = docs.select(F.col(id_col).alias("_id"), F.posexplode(T.lines(F.col(text_col))).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
@@ -125,7 +151,7 @@ def paragraphs(ocr_lines: DataFrame, factor: float = 0.8, height: float = 20.0)
     real = ocr_lines.where(T.strip(F.col("text")) != "")
     mean = F.coalesce(F.avg(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1"))).over(page), F.lit(height))
     marked = real.withColumn("_h", mean).withColumn("_gap", F.col("y1") - F.lag("y2").over(order)).withColumn(
-        "_new", F.coalesce((F.col("_gap") > F.col("_h") * factor), F.lit(True)) | is_heading(F.col("text")) | F.coalesce(F.lag(is_heading(F.col("text"))).over(order), F.lit(False))
+        "_new", F.coalesce((F.col("_gap") > F.col("_h") * factor), F.lit(True)) | is_heading(F.col("text"))
     )
     numbered = marked.withColumn("_p", F.sum(F.col("_new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     each = numbered.groupBy("doc_id", "page_num", "_p").agg(

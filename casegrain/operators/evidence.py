@@ -28,8 +28,8 @@ def aggregate_evidence(ranked: DataFrame, meta: DataFrame, chunks: DataFrame, n:
 def format_passages(chunks: Column) -> Column:
     """Up to three passages as bullets, cut to length; a line of its own where there is none."""
     few = F.slice(F.coalesce(chunks, F.array().cast("array<string>")), 1, PASSAGES)
-    cut = F.transform(few, lambda c: F.concat(F.lit("  • "), F.when(F.length(c) > PASSAGE_LETTERS, F.concat(F.substring(c, 1, PASSAGE_LETTERS), F.lit("..."))).otherwise(c)))
-    return F.when(F.size(few) == 0, F.lit("  (none)")).otherwise(F.array_join(cut, "\n"))
+    cut = F.transform(few, lambda c: F.concat(F.lit("    • "), T.strip(F.substring(c, 1, PASSAGE_LETTERS)), F.when(F.length(c) > PASSAGE_LETTERS, "...").otherwise("")))
+    return F.when(F.size(few) == 0, F.lit("    (No text passages available)")).otherwise(F.array_join(cut, "\n"))
 
 
 def strip_html(c: Column, by: str = "") -> Column:
@@ -100,6 +100,6 @@ def final_state(turns: DataFrame, by: str, order: str, scalars: list[str], lists
 
 def parse_answer(c: Column, schema: str) -> Column:
     """A model's answer as a struct: code fences dropped, the whole text as JSON, else its outermost braces, else null."""
-    bare = F.regexp_replace(T.strip(c), r"^```(json)?\s*|\s*```$", "")
+    bare = F.regexp_replace(T.strip(c), r"^```[a-z]*\n?|\n?```$", "")
     inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
     return F.from_json(F.when(F.try_parse_json(bare).isNotNull(), bare).otherwise(inner), schema)

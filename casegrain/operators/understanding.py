@@ -63,7 +63,8 @@ def apply_rules(c: Column, rules: list[tuple[list[str], str, str, list[str], lis
 
 def search_text() -> Column:
     """One string of all that a query says, from the columns of legal_queries; empty parts are left out."""
-    original = F.when(~F.contains(F.coalesce("query_in_english", F.lit("")), F.coalesce("original_query", F.lit(""))), F.col("original_query"))
+    told = F.coalesce(F.col("original_query") == F.nullif("query_in_english", F.lit("")), F.lit(False)) | F.coalesce(F.col("original_query") == F.nullif("query_in_tamil_script", F.lit("")), F.lit(False))
+    original = F.when(~told, F.col("original_query"))
     lists = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     parts = F.concat(
         F.array(F.col("query_in_english"), F.col("query_in_tamil_script"), original, F.col("incident_type")), lists("keywords"), lists("suggested_acts"),

@@ -65,9 +65,9 @@ SQL["clean_spaces"] = f"SELECT doc_id, array_to_string(list_transform({_lines2("
 QUERIES["clean_blank_lines"] = _one(cleaning.collapse_blank_lines)
 SQL["clean_blank_lines"] = "SELECT doc_id, regexp_replace(text, '(\\n[ \\t]*){2,}', chr(10) || chr(10), 'g') AS text FROM document_results"
 QUERIES["clean_page_numbers"] = _one(cleaning.remove_page_numbers)
-SQL["clean_page_numbers"] = f"SELECT doc_id, array_to_string(list_filter({_lines2('text')}, lambda x: NOT regexp_matches({_strip2('x')}, '^([0-9]+|-\\s*[0-9]+\\s*-|(?i:page)\\s+[0-9]+(\\s+(?i:of)\\s+[0-9]+)?|\\[[0-9]+\\])$')), chr(10)) AS text FROM document_results"
+SQL["clean_page_numbers"] = f"SELECT doc_id, array_to_string(list_filter({_lines2('text')}, lambda x: NOT regexp_matches({_strip2('x')}, '^(\\p{{Nd}}+|-\\s*\\p{{Nd}}+\\s*-|(?i:page)\\s+\\p{{Nd}}+(\\s+(?i:of)\\s+\\p{{Nd}}+)?|\\[\\s*\\p{{Nd}}+\\s*\\])$')), chr(10)) AS text FROM document_results"
 QUERIES["clean_margin_letters"] = _one(cleaning.remove_margin_letters)
-SQL["clean_margin_letters"] = f"SELECT doc_id, array_to_string(list_filter({_lines2('text')}, lambda x: NOT regexp_matches(x, '^\\s*[A-H]\\s*$') AND NOT regexp_matches(x, '(?i)^\\s*---\\s*page\\s+[0-9]+')), chr(10)) AS text FROM document_results"
+SQL["clean_margin_letters"] = f"SELECT doc_id, array_to_string(list_filter({_lines2('text')}, lambda x: NOT regexp_matches(x, '^\\s*[A-H]\\s*$') AND NOT regexp_matches(x, '^\\s*---\\s*Page\\s+\\p{{Nd}}+')), chr(10)) AS text FROM document_results"
 QUERIES["clean_ocr_whitespace"] = _one(cleaning.ocr_whitespace)
 SQL["clean_ocr_whitespace"] = f"SELECT doc_id, {_strip2("regexp_replace(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g')")} AS text FROM document_results"
 QUERIES["clean_document"] = _one(cleaning.clean_document)
@@ -177,7 +177,8 @@ def extracted_sections(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "WITH f AS (SELECT doc_id, unnest(regexp_extract_all(" + _HEAD + ", '[A-Z][A-Za-z\\s&,()]+?(?:Act|Code|Rules|Regulations?|Constitution|Ordinance|Order|Statute)(?:[,\\s]+(?:of\\s+)?[0-9]{4})?')) AS m FROM document_results), "
     f"g AS (SELECT doc_id, {_collapse2('m')} AS m FROM f), h AS (SELECT doc_id, regexp_replace(regexp_replace(m, ',?\\s*(?:of\\s+)?[0-9]{{4}}$', ''), '[ ,]+$', '') AS name, regexp_extract(m, '([0-9]{{4}})$', 1) AS y FROM g) "
-    "SELECT DISTINCT doc_id, name, CAST(y AS INT) AS year FROM h WHERE y <> '' AND length(name) >= 5"
+    "SELECT DISTINCT doc_id, name, CAST(y AS INT) AS year FROM h WHERE y <> '' AND length(name) >= 5 UNION "
+    + " UNION ".join(f"SELECT doc_id, '{n}', {y} FROM document_results WHERE contains({_HEAD}, '{w}')" for w, n, y in extraction.TAMIL_STATUTES)
 )
 def extracted_acts(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "document_results")
@@ -195,7 +196,7 @@ def extracted_citations(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 6000), '\\[?[0-9]{4}\\]?\\s+[0-9]+\\s+S\\.C\\.R\\.') OR regexp_matches(substr(text, 1, 6000), '(?i)SUPREME COURT REPORTS') OR regexp_matches(substr(text, 1, 6000), 'உச்ச\\s*நீதிமன்றம்') THEN 'Supreme Court of India' "
+    "SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 6000), '\\[?[0-9]{4}\\]?\\s+[0-9]+\\s+S\\.C\\.R\\.') OR regexp_matches(substr(text, 1, 6000), '(?i)SUPREME COURT REPORTS') OR regexp_matches(substr(text, 1, 6000), 'உச்ச\\s*நீதிமன்றம்|உ&ச\\s*ntம|ePjpkd;wk;') THEN 'Supreme Court of India' "
     + " ".join(f"WHEN contains(lower({_HEAD}), '{c.lower()}') THEN '{c}'" for c in extraction.COURTS) + " ELSE '' END AS court FROM document_results"
 )
 def extracted_court(spark: SparkSession, root: str) -> DataFrame:
@@ -205,7 +206,7 @@ def extracted_court(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "SELECT doc_id, c AS concept FROM (" + " UNION ALL ".join(
         f"SELECT doc_id, '{cid}' AS c FROM document_results WHERE " + " OR ".join(f"contains(lower(substr(text, 1, 3000) || ' ' || substr(text, 1, 4000)), '{w}')" for w in words)
-        for cid, _, words in extraction.CONCEPTS) + ")"
+        for cid, _, _, words, _ in extraction.CONCEPTS) + ")"
 )
 def extracted_concepts(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "document_results").select("doc_id", F.explode(extraction.concepts(F.col("text"))).alias("concept"))
@@ -446,7 +447,7 @@ def _list2(c: str) -> str:
 
 
 @query(
-    "SELECT query_id, array_to_string(list_filter(list_concat([query_in_english, query_in_tamil_script, CASE WHEN NOT contains(coalesce(query_in_english, ''), coalesce(original_query, '')) THEN original_query END, incident_type], "
+    "SELECT query_id, array_to_string(list_filter(list_concat([query_in_english, query_in_tamil_script, CASE WHEN NOT (coalesce(original_query = nullif(query_in_english, ''), false) OR coalesce(original_query = nullif(query_in_tamil_script, ''), false)) THEN original_query END, incident_type], "
     f"{_list2('keywords')}, {_list2('suggested_acts')}, list_transform({_list2('suggested_sections')}, lambda s: 'Section ' || s), {_list2('expanded_concepts')}), lambda p: p IS NOT NULL AND p <> ''), ' ') AS search_text FROM legal_queries"
 )
 def query_search_text(spark: SparkSession, root: str) -> DataFrame:
@@ -476,7 +477,7 @@ def query_web_string(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "legal_queries").select("query_id", understanding.web_query().alias("web_query"))
 
 
-@query("WITH d AS (SELECT DISTINCT evidence_id, relevant_chunks FROM case_evidence) SELECT evidence_id, CASE WHEN len(coalesce(relevant_chunks, CAST([] AS VARCHAR[]))) = 0 THEN '  (none)' ELSE array_to_string(list_transform(relevant_chunks[1:3], lambda c: '  • ' || CASE WHEN length(c) > 400 THEN substr(c, 1, 400) || '...' ELSE c END), chr(10)) END AS passages FROM d")
+@query("WITH d AS (SELECT DISTINCT evidence_id, relevant_chunks FROM case_evidence) SELECT evidence_id, CASE WHEN len(coalesce(relevant_chunks, CAST([] AS VARCHAR[]))) = 0 THEN '    (No text passages available)' ELSE array_to_string(list_transform(relevant_chunks[1:3], lambda c: '    • ' || " + _strip2("substr(c, 1, 400)") + " || CASE WHEN length(c) > 400 THEN '...' ELSE '' END), chr(10)) END AS passages FROM d")
 def evidence_passages(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "case_evidence").select("evidence_id", "relevant_chunks").distinct()
     return e.select("evidence_id", evidence.format_passages(F.col("relevant_chunks")).alias("passages"))
