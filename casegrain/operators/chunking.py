@@ -31,3 +31,22 @@ def first_chunks(chunks: DataFrame, id_col: str, n: int = 3) -> DataFrame:
     from pyspark.sql import Window
 
     return chunks.withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy("chunk_index"))).where(F.col("_r") <= n).drop("_r")
+
+
+def case_chunks(chunks: DataFrame, case: str = "case_id", source: str = "source_file", index: str = "chunk_index", text: str = "text") -> DataFrame:
+    """(case, texts): the texts of each case that aren't empty, in order; without a case id the source stands for it, else "unknown"."""
+    key = F.coalesce(F.nullif(F.col(case), F.lit("")), F.nullif(F.col(source), F.lit("")), F.lit("unknown"))
+    some = chunks.where(F.coalesce(text, F.lit("")) != "").groupBy(key.alias(case)).agg(F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), F.col(text).alias("t")))).alias("_c"))
+    return some.select(case, F.transform("_c", lambda x: x["t"]).alias("texts"))
+
+
+def chunks_at(chunks: DataFrame, wanted: DataFrame, row: str = "row") -> DataFrame:
+    """Chunks at the asked rows (place, row), in the order of ``place``; a row that isn't there is an error."""
+    found = wanted.join(chunks.withColumn("_there", F.lit(True)), row, "left")
+    return found.withColumn(row, F.when(F.col("_there"), F.col(row)).otherwise(F.raise_error(F.lit("no chunk at this row")))).drop("_there")
+
+
+def index_gaps(vectors: DataFrame, metadata: DataFrame, row: str = "row") -> DataFrame:
+    """(row, missing): rows that only the vectors or only the metadata have; none if the two agree."""
+    a, b = vectors.select(row).distinct(), metadata.select(row).distinct()
+    return a.join(b, row, "left_anti").withColumn("missing", F.lit("metadata")).unionByName(b.join(a, row, "left_anti").withColumn("missing", F.lit("vectors")))

@@ -70,6 +70,14 @@ def quality_strategy(blurry: Column, low_contrast: Column, noisy: Column) -> Col
     return F.when(problems >= 2, "aggressive").when(problems == 0, "gentle").otherwise("standard")
 
 
+def page_quality(q: Column, blur: float = 100.0, skew: float = 0.5, contrast: float = 40.0, noise: float = 0.35) -> Column:
+    """struct(is_blurry, has_significant_skew, has_low_contrast, is_noisy, strategy) by a page's measures."""
+    blurry, crooked, pale, noisy = q["blur_score"] < blur, F.abs(q["skew_angle"]) > skew, q["contrast_score"] < contrast, q["noise_level"] > noise
+    return F.struct(
+        blurry.alias("is_blurry"), crooked.alias("has_significant_skew"), pale.alias("has_low_contrast"), noisy.alias("is_noisy"), quality_strategy(blurry, pale, noisy).alias("strategy")
+    )
+
+
 def best_attempt(attempts: DataFrame, accept: float = 0.85) -> DataFrame:
     """Of each page the first attempt that reaches ``accept``, else the best, earliest among equals, marked low."""
     ok = F.coalesce(F.col("confidence"), F.lit(0.0)) >= accept

@@ -55,14 +55,17 @@ def metadata(edge_table: DataFrame, case: str = "case_id") -> DataFrame:
 def containing(names: DataFrame, terms: DataFrame) -> DataFrame:
     """(name, term): names that hold a term, without regard to case.
 
-    A term's first three letters are looked up among the pieces of the names, so that only names that can hold it
-    are compared; blank and null terms match nothing."""
+    Of a term's pieces of three letters the one that the fewest names hold is looked up, so that a frequent beginning is
+    no hot key; terms of one or two letters are looked up whole. Blank and null terms match nothing."""
     n = names.select("name").distinct().where("name IS NOT NULL").withColumn("_low", F.lower("name"))
-    t = terms.select("term").distinct().where(T.strip(F.coalesce("term", F.lit(""))) != "").withColumn("_t", F.lower("term")).withColumn("_key", F.substring("_t", 1, 3))
-    size = F.length("_low")
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.array(
-        F.substring(F.col("_low"), i, F.lit(1)), F.substring(F.col("_low"), i, F.lit(2)), F.substring(F.col("_low"), i, F.lit(3))))))
-    return n.withColumn("_key", F.explode(grams)).join(t, "_key").where(F.contains("_low", F.col("_t"))).select("name", "term").distinct()
+    t = terms.select("term").distinct().where(T.strip(F.coalesce("term", F.lit(""))) != "").withColumn("_t", F.lower("term"))
+    pieces = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+    keyed = n.withColumn("_key", F.explode(F.array_distinct(F.concat(pieces(F.col("_low"), 1), pieces(F.col("_low"), 2), pieces(F.col("_low"), 3)))))
+    frequency = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_names"))
+    asked = t.withColumn("_key", F.explode(F.array_distinct(F.when(F.length("_t") >= 3, pieces(F.col("_t"), 3)).otherwise(F.array("_t")))))
+    # A piece no name holds ends the search for its term: no name holds the term either.
+    rarest = asked.join(frequency, "_key", "left").groupBy("term", "_t").agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), "_key")).alias("_k")).where("_k.n > 0").select("term", "_t", F.col("_k._key").alias("_key"))
+    return keyed.join(rarest, "_key").where(F.contains("_low", F.col("_t"))).select("name", "term").distinct()
 
 
 def act_hits(edge_table: DataFrame, queries: DataFrame, case: str = "case_id") -> DataFrame:
@@ -88,11 +91,96 @@ def keyword_hits(cases: DataFrame, queries: DataFrame, case: str = "case_id", mo
     return found.select("query_id", case).distinct().withColumn("hits", F.lit(1).cast("long")).withColumn("match_type", F.lit("keyword"))
 
 
-def search(edge_table: DataFrame, cases: DataFrame, queries: DataFrame, k: int = 20, case: str = "case_id") -> DataFrame:
-    """(query_id, case, raw_score, matched parts, graph_score, rank): the k best cases of each query."""
+def concept_edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", case: str = "case_id") -> DataFrame:
+    """(case, concept): the concepts of each document."""
+    from casegrain.operators.extraction import concepts
+
+    return docs.select(F.col(id_col).alias(case), F.explode(concepts(F.col(text_col))).alias("concept")).distinct()
+
+
+def concept_hits(edge_table: DataFrame, queries: DataFrame, case: str = "case_id") -> DataFrame:
+    """Hits by concepts of which another name holds a keyword or the whole query, or whose name holds the incident.
+
+    The concepts are few and fixed, so each query is compared with them in its own row; blank terms match nothing."""
+    from casegrain.operators.extraction import CONCEPTS
+
+    terms = F.filter(F.transform(F.concat(F.coalesce("keywords", F.array().cast("array<string>")), F.array("original_query")), F.lower), lambda x: T.strip(F.coalesce(x, F.lit(""))) != "")
+    incident = F.lower(F.coalesce("incident_type", F.lit("")))
+
+    def hit(name: str, aliases: list[str]) -> Column:
+        by_alias = F.exists("_terms", lambda t: F.exists(F.array(*[F.lit(a.lower()) for a in aliases]), lambda a: F.contains(a, t)))
+        return by_alias | ((T.strip(incident) != "") & F.contains(F.lit(name.lower()), incident))
+
+    asked = queries.withColumn("_terms", terms)
+    found = F.array_compact(F.array(*[F.when(hit(name, aliases), F.lit(cid)) for cid, name, _, _, aliases in CONCEPTS]))
+    matched = asked.select("query_id", F.explode(found).alias("concept")).distinct().join(edge_table, "concept")
+    return matched.groupBy("query_id", case).agg(F.count(F.lit(1)).alias("hits")).withColumn("match_type", F.lit("concept"))
+
+
+def build_graph(graphs: DataFrame) -> DataFrame:
+    """Nested graphs with what is invalid left out.
+
+    ``graphs``: case_name, decision_date, language, court, judges array<string>, acts array<struct<name, year>>, sections
+    array<struct<type, number>>, parties array<struct<name, role>>, relationships array<struct<subject, relation, object>>
+    (other columns pass through). Names lose outer and double spaces; a statute needs a year from 1800 to 2100, a section
+    its kind and number, a party one of two roles; of the relationships those of a case to the label at their end stay."""
+    from casegrain.operators.extraction import ENDS
+
+    rows = lambda c, keep, make: F.filter(F.transform(F.filter(F.col(c), lambda x: x.isNotNull()), make), keep)
+    permitted = F.array(*[F.lit(f"Case|{r}|{o}") for r, o in ENDS.items()])
+    return graphs.withColumns({
+        "case_name": clean_name(F.col("case_name")), "decision_date": clean_name(F.col("decision_date")), "language": F.coalesce(F.nullif(clean_name(F.col("language")), F.lit("")), F.lit("English")),
+        "court": clean_name(F.col("court")), "judges": rows("judges", lambda x: x != "", clean_name),
+        "acts": rows("acts", lambda a: (a["name"] != "") & a["year"].between(1800, 2100), lambda a: F.struct(clean_name(a["name"]).alias("name"), a["year"].alias("year"))),
+        "sections": rows("sections", lambda s: (s["type"] != "") & (s["number"] != ""), lambda s: F.struct(clean_name(s["type"]).alias("type"), clean_name(s["number"]).alias("number"))),
+        "parties": rows("parties", lambda p: (p["name"] != "") & p["role"].isin("Petitioner", "Respondent"), lambda p: F.struct(clean_name(p["name"]).alias("name"), clean_name(p["role"]).alias("role"))),
+        "relationships": F.filter("relationships", lambda r: F.array_contains(permitted, F.concat_ws("|", r["subject"], r["relation"], r["object"]))),
+    })
+
+
+def graph_tables(graphs: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of built graphs: what loading them would merge.
+
+    Nodes (label, key, value): one for each key; the value (a case's date and language, a statute's year) is that of the
+    greatest ``order``. Edges (case_name, rel, key) of declared relations, each once, and only between nodes that are there."""
+    entry = lambda label, key, value=None: F.struct(F.lit(label).alias("label"), key.alias("key"), (value if value is not None else F.lit("")).cast("string").alias("value"))
+    section = lambda s: F.concat_ws(" ", s["type"], s["number"])
+    listed = F.concat(
+        F.array(entry("Case", F.col("case_name"), F.concat_ws("|", "decision_date", "language")), entry("Court", F.col("court"))), F.transform("judges", lambda j: entry("Judge", j)),
+        F.transform("acts", lambda a: entry("Act", a["name"], a["year"])), F.transform("sections", lambda s: entry("Section", section(s))), F.transform("parties", lambda p: entry("Party", p["name"])),
+    )
+    nodes_ = graphs.select(F.explode(listed).alias("_n"), order).select("_n.*", order).where("key != ''").groupBy("label", "key").agg(F.max_by("value", F.struct(order, "value")).alias("value"))
+    party = lambda role: F.transform(F.filter("parties", lambda p: p["role"] == role), lambda p: p["name"])
+    ends = {
+        "HEARD_IN": ("Court", F.array("court")), "DECIDED_BY": ("Judge", F.col("judges")), "UNDER_ACT": ("Act", F.transform("acts", lambda a: a["name"])),
+        "INVOLVES_SECTION": ("Section", F.transform("sections", section)), "HAS_PETITIONER": ("Party", party("Petitioner")), "HAS_RESPONDENT": ("Party", party("Respondent")),
+    }
+    declared = F.transform("relationships", lambda r: r["relation"])
+    made = F.flatten(F.array(*[
+        F.when(F.array_contains(declared, rel), F.transform(keys, lambda k: F.struct(F.lit(rel).alias("rel"), F.lit(label).alias("label"), k.alias("key")))).otherwise(
+            F.array().cast("array<struct<rel: string, label: string, key: string>>")) for rel, (label, keys) in ends.items()
+    ]))
+    raw = graphs.select("case_name", F.explode(made).alias("_e")).select("case_name", "_e.*").where("key != '' AND case_name != ''").distinct()
+    cases = nodes_.where("label = 'Case'").select(F.col("key").alias("case_name"))
+    return nodes_, raw.join(nodes_.select("label", "key"), ["label", "key"], "left_semi").join(cases, "case_name", "left_semi").select("case_name", "rel", "key")
+
+
+def load_graph(graphs: DataFrame, order: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The tables of ``graph_tables``; with a path they are also written there, in place of what was, else nothing is."""
+    nodes_, edges_ = graph_tables(build_graph(graphs), order)
+    if path is not None:
+        nodes_.write.mode("overwrite").parquet(f"{path}/nodes")
+        edges_.write.mode("overwrite").parquet(f"{path}/edges")
+    return nodes_, edges_
+
+
+def search(edge_table: DataFrame, cases: DataFrame, queries: DataFrame, k: int = 20, case: str = "case_id", concepts: DataFrame | None = None) -> DataFrame:
+    """(query_id, case, raw_score, matched parts, graph_score, rank): the k best cases of each query; ``concepts`` has (case, concept)."""
     from casegrain.operators.ranking import merge_graph_hits, top_n
 
     hits = reduce(DataFrame.unionByName, [act_hits(edge_table, queries, case), section_hits(edge_table, queries, case), keyword_hits(cases, queries, case)])
+    if concepts is not None:
+        hits = hits.unionByName(concept_hits(concepts, queries, case))
     return top_n(merge_graph_hits(hits, case=case), k, "query_id", "graph_score", case)
 
 

@@ -18,6 +18,28 @@ STOP = (
     "shall can to of in on at by for with from into and or but not no so as if then than this that these those what which who how when where why got "
     "get says said say someone another other him her his"
 ).split()
+# Words, domain, incident, acts, sections and concepts of each rule, in order of precedence.
+RULES = [
+    (["accident", "vehicle", "bike", "truck", "car", "collision", "hit", "motor", "road", "driving", "motorcycle", "pedestrian", "விபத்து", "வண்டி", "மோதி", "இழப்பீடு", "சேதம்",
+      "காரை", "दुर्घटना", "वाहन", "मुआवजा"], "Motor Vehicles", "Road Accident", ["Motor Vehicles Act"], ["134", "166", "279", "304A"],
+     ["tort liability", "negligence", "compensation", "contributory negligence", "motor accident claim"]),
+    (["dog", "animal", "bite", "attack", "cruelty", "stray", "நாய்", "கடித்தது", "விலங்கு"], "Criminal/Tort", "Animal Attack",
+     ["Indian Penal Code", "Prevention of Cruelty to Animals Act"], ["289", "304A", "428"], ["strict liability", "nuisance", "negligence", "animal owner liability"]),
+    (["landlord", "tenant", "rent", "eviction", "evict", "lease", "property", "house", "flat", "apartment", "வாடகை", "வீடு", "நிலம்"], "Property", "Tenancy / Eviction Dispute",
+     ["Transfer of Property Act", "State Rent Control Act"], ["106", "111"], ["wrongful eviction", "tenancy rights", "notice to quit", "mesne profits"]),
+    (["forge", "forged", "forgery", "signature", "fraud", "cheating", "document", "fake", "impersonate", "sign", "potutanga", "potuta", "poittanga", "kaiyappam", "eazhuthu",
+      "போலி", "கையெழுத்து", "ஏமாற்று"], "Criminal", "Forgery / Document Fraud", ["Indian Penal Code"], ["463", "465", "468", "471", "420"],
+     ["forgery", "fraud", "cheating", "document tampering", "mens rea"]),
+    (["copyright", "software", "piracy", "intellectual property", "trademark", "patent", "infringement", "plagiarism"], "Intellectual Property", "IP Infringement",
+     ["Copyright Act", "Trade Marks Act", "Patents Act", "Information Technology Act"], ["51", "63"], ["copyright infringement", "software piracy", "fair use", "moral rights"]),
+    (["employment", "fired", "sacked", "termination", "dismiss", "salary", "wage", "labour", "worker", "retrenchment", "வேலை", "சம்பளம்"], "Labour",
+     "Wrongful Termination / Labour Dispute", ["Industrial Disputes Act", "Payment of Wages Act", "Factories Act"], ["25F", "25N", "33"],
+     ["wrongful termination", "retrenchment", "reinstatement", "back wages"]),
+    (["consumer", "product", "defect", "defective", "warranty", "refund", "service", "cheated", "company", "பொருள்", "நுகர்வோர்"], "Consumer", "Consumer Dispute",
+     ["Consumer Protection Act"], ["2", "35", "58"], ["deficiency in service", "unfair trade practice", "product liability", "consumer rights"]),
+    (["murder", "assault", "rape", "robbery", "theft", "kidnap", "abduction", "dowry", "harassment", "criminal", "கொலை", "திருட்டு"], "Criminal", "Criminal Offence",
+     ["Indian Penal Code", "Code of Criminal Procedure"], ["302", "307", "376", "392", "498A"], ["cognizable offence", "mens rea", "actus reus", "burden of proof", "FIR"]),
+]
 GENERIC = ("General", "Legal Dispute", ["legal rights", "judicial remedy"])
 
 

@@ -355,17 +355,6 @@ def graph_keyword_hits(spark: SparkSession, root: str) -> DataFrame:
     return graph.keyword_hits(table(spark, root, "case_evidence"), _asked(spark, root))
 
 
-@query(
-    f"WITH {_edge_sql()}, {_ACT_HITS}, {_SECTION_HITS}, {_KEYWORD_HITS}, h AS (SELECT * FROM ah UNION ALL SELECT * FROM sh UNION ALL SELECT * FROM kh), "
-    "m AS (SELECT query_id, case_id, CAST(sum(hits * CASE match_type WHEN 'section' THEN 3 WHEN 'act' THEN 2 ELSE 1 END) AS BIGINT) AS raw_score FROM h GROUP BY 1, 2), "
-    "n AS (SELECT *, round(raw_score / CAST(greatest(max(raw_score) OVER (PARTITION BY query_id), 1) AS DOUBLE), 6) AS graph_score FROM m), "
-    "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY graph_score DESC, case_id) AS INT) AS rank FROM n) SELECT query_id, case_id, raw_score, graph_score, rank FROM r WHERE rank <= 20"
-)
-def graph_search(spark: SparkSession, root: str) -> DataFrame:
-    found = graph.search(_edges(spark, root), table(spark, root, "case_evidence"), _asked(spark, root))
-    return found.select("query_id", "case_id", "raw_score", "graph_score", "rank")
-
-
 @query("SELECT DISTINCT s.doc_id FROM staged_cases s JOIN (SELECT DISTINCT lower(case_name) AS n FROM case_evidence WHERE case_name IS NOT NULL) c ON contains(c.n, lower(substr(" + _strip2("s.title") + ", 1, 60))) WHERE " + _strip2("coalesce(s.title, '')") + " <> ''")
 def staged_known_titles(spark: SparkSession, root: str) -> DataFrame:
     return graph.known_titles(table(spark, root, "staged_cases"), table(spark, root, "case_evidence")).select("doc_id").distinct()
@@ -454,20 +443,26 @@ def query_search_text(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "legal_queries").select("query_id", understanding.search_text().alias("search_text"))
 
 
-RULES = [
-    (["accident", "vehicle", "lorry", "collision"], "Transport", "Road Accident", ["Road Carriage and Injury Act, 1961"], ["34"], ["negligence", "compensation"]),
-    (["landlord", "tenant", "rent", "lease"], "Property", "Tenancy Dispute", ["Dwelling House Tenancy Act, 1958"], ["12(2)"], ["eviction"]),
-    (["wages", "fired", "employer"], "Labour", "Dismissal", ["Workmen Retrenchment Act, 1963"], [], ["back wages"]),
-]
+def _rules2(field: int) -> str:
+    """The field of the first rule that holds a word of the query; lists parted by a bar."""
+    shown = lambda v: v if isinstance(v, str) else "|".join(v)
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in r[0]) + f" THEN '{shown(r[field])}'" for r in understanding.RULES)
+
+
+_MENTIONED = "regexp_extract_all({}, '(?i)\\bsection\\s+([0-9]+[a-z]?)\\b', 1)"
 
 
 @query(
-    "SELECT query_id, CASE WHEN " + " WHEN ".join(" OR ".join(f"contains(lower(original_query), '{w}')" for w in words) + f" THEN '{d}'" for words, d, *_ in RULES) + " ELSE 'General' END AS legal_domain, CASE WHEN "
-    + " WHEN ".join(" OR ".join(f"contains(lower(original_query), '{w}')" for w in words) + f" THEN '{i}'" for words, _, i, *_ in RULES) + " ELSE 'Legal Dispute' END AS incident_type FROM legal_queries"
+    "WITH q AS (SELECT query_id, original_query, lower(original_query) AS low FROM legal_queries WHERE original_query IS NOT NULL), "
+    f"r AS (SELECT *, {_rules2(1)} ELSE 'General' END AS legal_domain, {_rules2(2)} ELSE 'Legal Dispute' END AS incident_type, {_rules2(3)} ELSE '' END AS acts, {_rules2(4)} ELSE NULL END AS own, {_rules2(5)} ELSE 'legal rights|judicial remedy' END AS concepts FROM q), "
+    f"s AS (SELECT *, CASE WHEN own IS NULL THEN {_MENTIONED.format('original_query')} ELSE list_concat(string_split(own, '|'), {_MENTIONED.format('low')}) END AS raw FROM r), "
+    "d AS (SELECT query_id, x, min(i) AS i FROM (SELECT query_id, unnest(raw) AS x, generate_subscripts(raw, 1) AS i FROM s) GROUP BY 1, 2), n AS (SELECT query_id, string_agg(x, '|' ORDER BY i) AS sections FROM d GROUP BY 1) "
+    "SELECT query_id, legal_domain, incident_type, acts, coalesce(sections, '') AS sections, concepts FROM s LEFT JOIN n USING (query_id)"
 )
 def query_concepts(spark: SparkSession, root: str) -> DataFrame:
-    m = understanding.apply_rules(F.col("original_query"), RULES)
-    return table(spark, root, "legal_queries").select("query_id", m["legal_domain"].alias("legal_domain"), m["incident_type"].alias("incident_type"))
+    m = understanding.apply_rules(F.col("original_query"), understanding.RULES)
+    q = table(spark, root, "legal_queries").where("original_query IS NOT NULL").select("query_id", m.alias("m"))
+    return q.select("query_id", "m.legal_domain", "m.incident_type", *[F.array_join(f"m.{c}", "|").alias(c) for c in ("acts", "sections", "concepts")])
 
 
 @query(
@@ -573,8 +568,11 @@ def flagship(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from casegrain.plans import answers, conversations  # noqa: F401  they register their queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql.replace("{WS}", WS2).replace("{LINE}", LINE2) for name, sql in SQL.items()}
