@@ -10,7 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Query vectors that go to the workers at once; with their dimension this bounds what is broadcast.
-BLOCK = 4096
+BLOCK = 1024
+#: Rows of a batch that are multiplied at once, so that scores of BLOCK x ROWS are held, 16 MB.
+ROWS = 2048
+
+
+def best_of(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k greatest scores of each row, ties by key: all that reach the k-th value are sorted, no others."""
+    n = min(k, score.shape[1])
+    least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+    r, c = np.nonzero(score >= least[:, None])
+    order = np.lexsort((keys[c], -score[r, c], r))
+    r, c = r[order], c[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[place < n], c[place < n]
 
 
 def l2_normalise(c: Column) -> Column:
@@ -23,7 +36,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     """(query_key, key, score, rank): the k rows of greatest inner product for each query, ties by key.
 
     Queries come in blocks of BLOCK; each block passes once over the data as a matrix product, a worker keeps the
-    k best for each query of every batch it reads, and a window takes the k best of these. Null vectors are left
+    k best for each query of every ROWS rows it reads, and a window takes the k best of these. Null vectors are left
     out; with fewer rows than k all are returned."""
     clean = data.where(F.col(vector).isNotNull()).select(F.col(key).alias("_key"), F.col(vector).alias("_v"))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("_q"), F.col(vector).alias("_v"))
@@ -43,13 +56,12 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
             for batch in batches:
                 if not len(batch):
                     continue
-                m = np.stack([np.asarray(v, dtype=np.float64) for v in batch["_v"]])
-                keys = batch["_key"].to_numpy()
-                score = np.round(q @ m.T, 6)
-                n = min(k, len(keys))
-                order = np.argsort(keys, kind="stable")
-                pick = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :n]]
-                yield pd.DataFrame({"_q": np.repeat(ids, n), "_key": keys[pick].ravel(), "score": np.take_along_axis(score, pick, 1).ravel()})
+                for at in range(0, len(batch), ROWS):
+                    rows = batch.iloc[at : at + ROWS]
+                    keys = rows["_key"].to_numpy()
+                    score = np.round(q @ np.stack([np.asarray(v, dtype=np.float64) for v in rows["_v"]]).T, 6)
+                    i, j = best_of(score, keys, k)
+                    yield pd.DataFrame({"_q": ids[i], "_key": keys[j], "score": score[i, j]})
 
         part = clean.mapInPandas(run, f"_q {qkind}, _key {kind}, score double")
         best = part if best is None else best.unionByName(part)

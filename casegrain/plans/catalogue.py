@@ -382,7 +382,7 @@ def hybrid_rank(spark: SparkSession, root: str) -> DataFrame:
     return ranking.hybrid_rank(semantic, linked).select("query_id", "case_id", "final_score", "rank")
 
 
-_RATINGS = "v AS (SELECT case_id, CAST(sum(rating) AS BIGINT) AS net FROM (SELECT DISTINCT * FROM feedback) WHERE case_id IS NOT NULL AND rating IS NOT NULL GROUP BY 1)"
+_RATINGS = "v AS (SELECT case_id, CAST(sum(rating) AS BIGINT) AS net FROM feedback WHERE case_id IS NOT NULL AND rating IS NOT NULL GROUP BY 1)"
 
 
 @query(f"WITH {_RATINGS} SELECT case_id, net FROM v")
@@ -549,9 +549,9 @@ def parsed_answers(spark: SparkSession, root: str) -> DataFrame:
 # ------------------------------------------------------------------ streams
 
 
-@query(f"WITH {_RATINGS} SELECT case_id, net FROM v")
+@query(f"WITH {_RATINGS.replace('FROM feedback WHERE', 'FROM (SELECT DISTINCT * FROM feedback) WHERE')} SELECT case_id, net FROM v")
 def stream_votes(spark: SparkSession, root: str) -> DataFrame:
-    found = streams.votes(streams.table_stream(spark, root, "feedback"), "4000 days")
+    found = streams.votes(streams.table_stream(spark, root, "feedback"))
     return streams.run_once(found, "update").groupBy("case_id").agg(F.max_by("net", "_batch").alias("net"))
 
 
