@@ -1,14 +1,16 @@
 """P4: language of texts and of the stretches of mixed texts, by compression.
 
 A text is encoded with a zstandard raw-content dictionary of each language; the smallest encoding
-names the language, and a narrow margin to the next is rejected. The dictionaries are made of a few seed
-sentences kept here, romanised Tamil and Hindi among them, and of a bounded sample of labelled documents
-whose script agrees with their label.
+names the language, and a narrow margin to the next is rejected. The dictionaries hold a bounded sample of labelled
+documents whose script agrees with their label. For Tamil and Hindi in Roman letters the same sample is written as
+people type it, by rule. What dictionaries of judgments lack, the register of everyday questions, is learnt from
+unlabelled texts of a bounded sample that are told by a wide margin, in a few rounds.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,42 +21,67 @@ from pyspark.sql import functions as F
 
 #: Labelled documents taken for each language's dictionary, at most about this many, chosen by hash.
 SAMPLE_DOCS = 80
-#: Bytes of a dictionary, at most.
-DICTIONARY_BYTES = 60_000
+#: Bytes of a dictionary from documents, at most, and from unlabelled texts.
+DICTIONARY_BYTES, LEARNT_BYTES = 60_000, 30_000
+#: Unlabelled texts looked at for the dictionaries, at most about this many, chosen by hash, and in how many rounds.
+SAMPLE_TEXTS, ROUNDS = 3000, 3
 LEVEL = 3
 #: A stretch is rejected if the next language needs less than this many bytes, or this share, more.
 MARGIN_BYTES, MARGIN_SHARE = 2, 0.04
 UNKNOWN = "und"
+LABELS = ["en", "ta", "hi", "mr", "te", "bn", "ur", "zh", "ja", "th"]
+#: Languages that are typed in Roman letters too; "_r" marks these.
+ROMANISED = {"ta": "ta_r", "hi": "hi_r"}
+
+# How letters are typed in Roman ones; a vowel sign takes the place of a consonant's own "a".
+_CONSONANTS = dict(zip(
+    "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसहळ" + "கஙசஞடணதநபமயரலவழளறனஜஷஸஹ",
+    "k kh g gh ng ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l v sh sh s h l".split() + "k ng s nj d n th n p m y r l v zh l r n j sh s h".split(),
+))
+_VOWELS = dict(zip("अआइईउऊऋएऐओऔ" + "அஆஇஈஉஊஎஏஐஒஓஔ", "a aa i ee u oo ri e ai o au".split() + "a aa i ee u oo e e ai o o au".split()))
+_SIGNS = dict(zip("ािीुूृेैोौ" + "ாிீுூெேைொோௌ", "aa i ee u oo ri e ai o au".split() + "aa i ee u oo e e ai o o au".split()))
+_STOPS, _NASALS, _DOT = "्்", {"ं": "n", "ँ": "n", "ः": "h"}, "\u093c"
+_VOICED = {"k": "g", "th": "dh", "p": "b", "d": "d"}
+
+
+def romanised(text: str, long: bool = True) -> str:
+    """Devanagari and Tamil as they are typed in Roman letters, with double or single letters for long vowels.
+
+    In Hindi the last consonant of a word has no vowel; Tamil stops are voiced between vowels. Other letters stay."""
+    text = unicodedata.normalize("NFD", text)
+    out: list[str] = []
+    bare = False  # the last consonant still has its own vowel
+    for k, c in enumerate(text):
+        after = text[k + 1 : k + 2]
+        if c in _CONSONANTS:
+            sound = _CONSONANTS[c]
+            if "\u0b80" <= c <= "\u0bff":
+                before = text[k - 1 : k]
+                if before and ("\u0b80" <= before <= "\u0bff") and before not in _STOPS and after not in _STOPS:
+                    sound = _VOICED.get(sound, sound)
+                elif sound == "d" and after in _STOPS:
+                    sound = "t"
+            out.append(("a" if bare else "") + sound)
+            bare = True
+        elif c in _SIGNS:
+            out.append(_SIGNS[c])
+            bare = False
+        elif c in _STOPS:
+            bare = False
+        elif c == _DOT:
+            continue
+        else:
+            if c in _NASALS:
+                out.append(("a" if bare else "") + _NASALS[c])
+            else:
+                ended = bare and not c.isalpha()
+                tamil = ended and k and "\u0b80" <= text[k - 1] <= "\u0bff"
+                out.append(("a" if bare and (not ended or tamil) else "") + _VOWELS.get(c, c))
+            bare = False
+    roman = "".join(out)
+    return roman if long else roman.replace("aa", "a").replace("ee", "i").replace("oo", "u")
+
 
-# Seed sentences of everyday requests for help, by language; "_r" marks Roman letters.
-SEEDS = {
-    "en": "My neighbour has built a wall on our land and will not remove it. The landlord locked the house and did not return my deposit, what can I do? "
-    "The police took my brother last night, how do we get bail? I was removed from my job without any notice and the company has not paid my wages for months. "
-    "Someone forged my father's signature on the sale deed. The cheque bounced and the bank says a notice is needed before a case. Can we claim compensation "
-    "for the accident? The driver ran away after the lorry hit him. The shop refuses to refund the money for a defective phone. My husband and his family beat me and ask for money. "
-    "The insurance company says that the policy had lapsed although the premium was paid. What is the remedy, and where should I complain? Is the loan that my late mother took mine to pay? "
-    "A dog bit the child and its owner only laughs. They copied our work and sell it under another name. Please help me, what is the next step and how long does it take? ",
-    "ta_r": "naan oru kadaiyila velai paathen, velaiyai vittu thookittanga, sambalam tharala. en appa va vandi idichiduchu, avanga nikkama poitanga. "
-    "pakkathu veetla irukkuravanga enga nilathula suvar kattitanga, enna panna mudiyum? veettu owner veeda pootitu panam thirumba tharamaatengiran. "
-    "police en thambiya pidichitu poitanga, bail eppadi vaangalam? kadaikaran kettupona porul kuduthutaan, panam thirumba kidaikkuma. en kaiyezhuthu pola pottu nilatha vithutanga. "
-    "cheque thirumbi vandhuduchu, case poda mudiyuma, enna seiyanum sollunga. enakku udhavi venum, yaaru kitta kekkanum. avan enna adichan, romba kashtama irukku. "
-    "idhukku nashta eedu kidaikkuma, vakkeel venuma, evlo naal aagum. ippo enna pannalam, naanga enga poganum, avanga notice illama veliya anuppitanga rupai ",
-    "hi_r": "main ek dukan par kaam karta tha, mujhe bina bataye naukri se nikal diya aur paisa nahi diya. mere papa ko gaadi ne takkar mari aur driver bhag gaya. "
-    "padosi ne hamari zameen par deewar bana li hai, ab kya kare? makan malik ne ghar band kar diya aur paise wapas nahi kar raha. police mere bhai ko le gayi hai, zamanat kaise hogi. "
-    "dukandar ne kharab saman diya hai aur paisa wapas nahi deta. kisi ne mere nakli hastakshar sign karke zameen bech di. cheque bounce ho gaya hai, case kaise karna hai. "
-    "mujhe madad chahiye, kisse baat karni hogi, kitna samay lagega. pati aur sasural wale mujhe pareshan karte hain, kya muavza milega. hum kahan jaye, kya karna chahiye, rupaye kab milenge ",
-    "ta": "பக்கத்து வீட்டுக்காரர் எங்கள் நிலத்தில் சுவர் கட்டியிருக்கிறார், நான் என்ன செய்ய முடியும்? வேலையில் இருந்து என்னை நீக்கிவிட்டார்கள், சம்பளம் கொடுக்கவில்லை. காவல்துறை என் தம்பியை அழைத்துச் சென்றது, ஜாமீன் எப்படி பெறுவது?",
-    "hi": "पड़ोसी ने हमारी ज़मीन पर दीवार बना ली है, मैं क्या करूँ? मुझे बिना बताए नौकरी से निकाल दिया गया और वेतन नहीं मिला है। पुलिस मेरे भाई को ले गई, ज़मानत कैसे मिलेगी? मेरे पिता को गाड़ी ने टक्कर मारी थी, क्या मुआवज़ा मिल सकता है? "
-    "दुकानदार ने ख़राब सामान दिया और पैसा वापस नहीं कर रहा है। किसी ने जाली हस्ताक्षर करके ज़मीन बेच दी। मकान मालिक ने घर बंद कर दिया है और किराया वापस नहीं देता। ससुराल वाले मुझे पैसों के लिए परेशान करते हैं। चेक बाउंस हो गया है, केस कैसे करें?",
-    "mr": "शेजाऱ्याने आमच्या जमिनीवर भिंत बांधली आहे, मी काय करू शकतो? मला न सांगता नोकरीवरून काढून टाकले आहे आणि पगार दिला नाही. पोलिसांनी माझ्या भावाला नेले आहे, जामीन कसा मिळेल? माझ्या वडिलांना गाडीने धडक दिली, मला भरपाई मिळेल का? "
-    "दुकानदाराने खराब वस्तू दिली आणि पैसे परत देत नाही. घरमालकाने घराला कुलूप लावले आहे. कोणीतरी माझी खोटी सही करून जमीन विकली आहे. सासरचे लोक पैशासाठी मला त्रास देत आहेत. धनादेश परत आला आहे, आता काय करावे?",
-    "te": "పక్కింటి వాళ్ళు మా స్థలంలో గోడ కట్టారు, నేను ఏమి చేయగలను? నన్ను చెప్పకుండా ఉద్యోగం నుండి తీసేశారు, జీతం ఇవ్వలేదు. పోలీసులు మా తమ్ముడిని తీసుకెళ్ళారు.",
-    "bn": "প্রতিবেশী আমাদের জমিতে দেয়াল তুলেছে, আমি কী করতে পারি? আমাকে না জানিয়ে চাকরি থেকে বাদ দিয়েছে, বেতন দেয়নি। পুলিশ আমার ভাইকে নিয়ে গেছে।",
-    "ur": "پڑوسی نے ہماری زمین پر دیوار بنا لی ہے، میں کیا کر سکتا ہوں؟ مجھے بتائے بغیر نوکری سے نکال دیا گیا ہے اور تنخواہ نہیں ملی۔ پولیس میرے بھائی کو لے گئی ہے۔",
-    "zh": "邻居在我家的土地上砌了墙，我该怎么办？公司没有通知就把我辞退了，也没有支付工资。警察带走了我的弟弟，怎样才能保释？",
-    "ja": "隣の人がうちの土地に塀を建てました。どうすればよいですか。会社は予告なしに私を解雇し、給料を払ってくれません。警察が弟を連れて行きました。",
-    "th": "เพื่อนบ้านสร้างกำแพงบนที่ดินของเรา ฉันจะทำอย่างไรได้บ้าง นายจ้างไล่ฉันออกโดยไม่แจ้งล่วงหน้าและไม่จ่ายค่าจ้าง ตำรวจพาน้องชายของฉันไป",
-}
 # The scripts of a language.
 SCRIPTS = {
     "en": {"LATIN"}, "ta_r": {"LATIN"}, "hi_r": {"LATIN"}, "ta": {"TAMIL"}, "hi": {"DEVANAGARI"}, "mr": {"DEVANAGARI"}, "te": {"TELUGU"},
@@ -120,9 +147,10 @@ class Compressors:
     def classify(self, text: str, top: str | None = None) -> tuple[str | None, float, bool]:
         """(language, confidence, whether the margin is wide enough); None where there is no letter.
 
-        The languages whose script holds most letters (``top``, if known) are compared; where that leaves one
-        language nothing need be compressed. Roman letters of Tamil and Hindi count as these."""
-        got = self.kept.get(text)
+        The smallest encoding among the languages of the script that holds most letters (``top``, if known) wins; the
+        margin is that to the next of these. Where the script has one language, English is compressed beside it for the
+        confidence, but can't reject it. Roman letters of Tamil and Hindi count as these."""
+        got = self.kept.get((text, top))
         if got is None:
             if top is None:
                 there = scripts(text)
@@ -131,47 +159,66 @@ class Compressors:
                 top = max(there, key=lambda s: (there[s], s))
                 if top == "CJK" and there.get("KANA", 0):
                     top = "KANA"
-            fits = _FITS[top]
-            if len(fits) == 1:
-                return next(iter(fits)).removesuffix("_r"), 1.0, True
-            ranked = [(n, lang.removesuffix("_r")) for n, lang in self.sizes(text, fits)]
-            if not ranked:
+            fits = _FITS[top] & set(self.by)
+            if not fits:
                 return UNKNOWN, 0.0, False
-            best, lang = ranked[0]
-            rest = min((n for n, other in ranked if other != lang), default=best + 64)
-            margin = rest - best
-            confidence = 1 - 0.5 ** (1 + margin)
-            got = (lang, round(confidence, 6), margin >= max(MARGIN_BYTES, MARGIN_SHARE * best))
+            sizes = {lang: n for n, lang in self.sizes(text, fits | ({"en"} & set(self.by)))}
+            best, lang = min((sizes[x], x.removesuffix("_r")) for x in fits)
+            others = [n for x, n in sizes.items() if x.removesuffix("_r") != lang]
+            same = [sizes[x] for x in fits if x.removesuffix("_r") != lang]
+            margin = min(same or others, default=best + 64) - best
+            confidence = 1 - 0.5 ** (1 + max(0, margin))
+            got = (lang, round(confidence, 6), not same or margin >= max(MARGIN_BYTES, MARGIN_SHARE * best))
             if len(self.kept) > 100_000:
                 self.kept.clear()
-            self.kept[text] = got
+            self.kept[(text, top)] = got
         return got
 
 
 def dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Raw content for each language: a sample of labelled documents, then the seeds, which stand nearest.
+    """Raw content for each language: a sample of labelled documents, for some languages also as they are typed in Roman letters.
 
     The sample is bounded by ``sample_docs`` a language and DICTIONARY_BYTES; a labelled text counts only if
-    the label's script holds nine tenths of its letters."""
-    known = docs.where(F.col(lang_col).isin([x for x in SEEDS if "_" not in x]) & (F.length(F.trim(text_col)) > 0))
+    the label's script holds nine tenths of its letters. A language without such a text has no dictionary."""
+    known = docs.where(F.col(lang_col).isin(LABELS) & (F.length(F.trim(text_col)) > 0))
     share = known.groupBy(lang_col).count().select(lang_col, (F.lit(sample_docs) / F.col("count") * 1_000_000).cast("long").alias("_part"))
-    rows = (
-        known.join(F.broadcast(share), lang_col)
-        .where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.col("_part"))
-        .select(lang_col, F.substring(text_col, 1, 4000)).collect()
-    )
+    rows = known.join(F.broadcast(share), lang_col).where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.col("_part")).select(lang_col, text_col).collect()
     texts: dict[str, list[str]] = {}
     for lang, text in rows:
         there = scripts(text)
         if there and sum(there.get(s, 0) for s in SCRIPTS[lang]) >= 0.9 * sum(there.values()):
-            texts.setdefault(lang, []).append(clean(text))
+            texts.setdefault(lang, []).append(text)
     out = {}
-    for lang, seed in SEEDS.items():
-        learnt = "".join(sorted(texts.get(lang, []))).encode()[:DICTIONARY_BYTES]
-        out[lang] = learnt + clean(seed).encode() * 2
+    for lang, found in texts.items():
+        whole = "".join(map(clean, sorted(found)))
+        out[lang] = whole.encode()[:DICTIONARY_BYTES]
+        if lang in ROMANISED:
+            half = DICTIONARY_BYTES // 2
+            out[ROMANISED[lang]] = b"".join(clean(romanised(whole, long)).encode("ascii", "ignore")[:half] for long in (False, True))
     return out
 
 
+def learn(content: dict[str, bytes], texts: DataFrame, text_col: str, sample_texts: int = SAMPLE_TEXTS, rounds: int = ROUNDS) -> dict[str, bytes]:
+    """Dictionaries with what unlabelled texts add: in each round the texts told by twice the usual margin are put to their
+    language. At most about ``sample_texts`` distinct texts, chosen by hash, and LEARNT_BYTES a language."""
+    distinct = texts.where(F.length(F.trim(text_col)) > 0).select(text_col).distinct()
+    part = int(min(1.0, sample_texts / max(1, distinct.count())) * 1_000_000)
+    sample = sorted(r[0] for r in distinct.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < part).collect())
+    now = content
+    for _ in range(rounds):
+        c = Compressors(now)
+        told: dict[str, list[str]] = {}
+        for text in sample:
+            ranked = c.sizes(text, set(now)) if scripts(text) else []
+            if ranked:
+                best, lang = ranked[0]
+                rest = min((n for n, other in ranked if other.removesuffix("_r") != lang.removesuffix("_r")), default=best + 64)
+                if rest - best >= 2 * max(MARGIN_BYTES, MARGIN_SHARE * best):
+                    told.setdefault(lang, []).append(clean(text))
+        now = {lang: data + "".join(told.get(lang, [])).encode()[:LEARNT_BYTES] for lang, data in content.items()}
+    return now
+
+
 def classify_texts(df: DataFrame, id_col: str, text_col: str, content: dict[str, bytes]) -> DataFrame:
     """(id, lang, confidence, accepted) of each row; null and letterless texts have null and confidence 0."""
     shared = df.sparkSession.sparkContext.broadcast(content)

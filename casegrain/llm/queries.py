@@ -43,11 +43,11 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    content = languages.dictionaries(table(spark, root, "documents"))
     asked = table(spark, root, "legal_queries")
+    content = languages.learn(languages.dictionaries(table(spark, root, "documents")), asked, "original_query")
     told = languages.classify_texts(asked.select("query_id", "original_query", "detected_language"), "query_id", "original_query", content)
     wrong = told.join(asked.select("query_id", "detected_language"), "query_id").where(
-        "lang IS NOT NULL AND NOT (detected_language <=> lang)"
+        "accepted AND NOT (detected_language <=> lang)"
     )
     mixed = languages.mixed_texts(languages.text_languages(table(spark, root, "document_results"), "doc_id", "text", content), "doc_id")
     return (
