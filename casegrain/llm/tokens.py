@@ -1,7 +1,10 @@
 """P7: encoding a whole corpus with a public byte-level BPE vocabulary.
 
 The words are split in Spark by the vocabulary's own pattern, every distinct word is encoded
-once, and the ids are joined back by position. Decoding is a join with the id-to-piece table.
+once, and the ids are joined back by position. Of the table of distinct words the head, words of at least HEAD_SHARE of
+all and HEAD_LETTERS at most (100,000 words), is broadcast, so that frequent words are joined where they stand and no
+word is a hot key; the rest is joined by shuffle. A document's ids are gathered before the shuffle, a row for each
+document and task. Decoding is a join with the id-to-piece table.
 """
 
 from __future__ import annotations
@@ -14,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegrain.functions.lineage import cut
+
 VOCABULARY = os.environ.get("CASEGRAIN_TOKENIZERS", "/opt/tokenizers")
 #: The pattern that splits text before the merges, fixed by the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SALTS = 8
+HEAD_SHARE, HEAD_LETTERS = 1e-5, 64
 
 
 def ranks(vocabulary: str = VOCABULARY, name: str = "byte_bpe_50k") -> dict[bytes, int]:
@@ -48,32 +53,34 @@ def words(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
 
 def encode_words(distinct: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(_word, _ids): each distinct word encoded once, without splitting it again."""
+    """(_word, _n, _ids): each distinct word encoded once, without splitting it again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(vocabulary, "byte_bpe_50k", r"[\s\S]+")
         for b in batches:
-            yield pd.DataFrame({"_word": b["_word"], "_ids": [enc.encode_ordinary(w) for w in b["_word"]]})
+            yield pd.DataFrame({"_word": b["_word"], "_n": b["_n"], "_ids": [enc.encode_ordinary(w) for w in b["_word"]]})
 
-    return distinct.mapInPandas(run, "_word string, _ids array<int>")
+    return distinct.mapInPandas(run, "_word string, _n long, _ids array<int>")
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per id: the id and ``ids``, the tokens of its text without special tokens.
 
     An empty and a null text have an empty list; strings of special tokens are ordinary text.
-    A repeated row counts once; an id with several texts has a row for each. Frequent words are spread over ``SALTS`` parts of the join, as one word may hold a large share."""
+    A repeated row counts once; an id with several texts has a row for each."""
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     spread = words(docs.withColumn("_h", F.xxhash64("_text")), ["_id", "_h"], "_text")
     # A row delivered k times has every position k times: only then is the list thinned.
     once = F.when(F.size("_all") == F.col("_last") + 1, F.col("_all")).otherwise(
         F.expr("filter(_all, (x, i) -> i = 0 OR get(_all, i - 1)._pos != x._pos)")
     )
-    known = encode_words(spread.select("_word").distinct(), vocabulary)
-    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = cut(encode_words(spread.groupBy("_word").agg(F.count(F.lit(1)).alias("_n")), vocabulary))
+    total = known.agg(F.sum("_n")).first()[0] or 0
+    frequent = (F.col("_n") >= HEAD_SHARE * total) & (F.length("_word") <= HEAD_LETTERS)
+    head, rest = F.broadcast(known.where(frequent).select("_word", "_ids")), known.where(~frequent).select("_word", "_ids")
     placed = (
-        spread.withColumn("_salt", F.pmod(F.hash("_id"), F.lit(SALTS)))
-        .join(known, ["_word", "_salt"])
+        spread.join(head, "_word").select("_id", "_h", "_pos", "_ids")
+        .unionByName(spread.join(head.select("_word"), "_word", "left_anti").join(rest, "_word").select("_id", "_h", "_pos", "_ids"))
         .groupBy("_id", "_h")
         .agg(F.sort_array(F.collect_list(F.struct("_pos", "_ids"))).alias("_all"), F.max("_pos").alias("_last"))
         .select("_id", once.alias("_all"))
