@@ -100,7 +100,8 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parted = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), by, -1)).alias("page_num", "_t"))
     bare = remove_repeated_edges(parted.select("doc_id", "page_num", strip_reader_marks(F.col("_t")).alias("text")))
     whole = bare.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_num", "text"))).alias("_p"))
-    joined = F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n")
+    joined = F.coalesce(F.array_join(F.transform("_p", lambda p: p["text"]), "\n\n"), F.lit(""))
+    whole = docs.select(F.col(id_col).alias("doc_id")).distinct().join(whole, "doc_id", "left")
     return whole.select(F.col("doc_id").alias(id_col), T.strip(collapse_blank_lines(remove_page_numbers(collapse_spaces(joined)))).alias(text_col))
 
 
