@@ -110,13 +110,11 @@ def visible(text_col: str):
     return _column(visible_text, text_col)
 
 
-def same_look(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key_a, key_b): pairs of ids, key_a < key_b, whose texts differ but look the same.
+def looks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _c, _v, _t): the hashes of the canonical form, of the visible form and of the text of each row, each once.
 
-    Rows are first gathered by the hash of the canonical form, then held together by the hash of
-    the visible form. Null and blank texts are no cases; repeated rows count once; an id
-    with several texts takes part with each. Only ids and hashes are shuffled, never texts."""
-    keyed = (
+    Null and blank texts are left out. Only ids and hashes leave the scan, never texts."""
+    return (
         df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
         .withColumn("_canonical", canonical("_text"))
@@ -128,6 +126,28 @@ def same_look(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         )
         .distinct()
     )
-    a = keyed.select(F.col("_id").alias("key_a"), "_c", "_v", F.col("_t").alias("_ta"))
-    b = keyed.select(F.col("_id").alias("key_b"), "_c", "_v", F.col("_t").alias("_tb"))
-    return a.join(b, ["_c", "_v"]).where("key_a < key_b AND _ta != _tb").select("key_a", "key_b").distinct()
+
+
+def same_look(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key_a, key_b): pairs of ids, key_a < key_b, whose texts differ but look the same.
+
+    Rows are first gathered by the hash of the canonical form, then held together by the hash of
+    the visible form. Null and blank texts are no cases; repeated rows count once; an id
+    with several texts takes part with each. Equal texts are one text until the pairs of different texts are
+    known: a text under very many ids is never paired with itself."""
+    keyed = looks(df, id_col, text_col)
+    one = keyed.select("_c", "_v", "_t").distinct()
+    pairs = one.join(one.withColumnRenamed("_t", "_u"), ["_c", "_v"]).where("_t < _u").select("_t", "_u").distinct()
+    a = keyed.select("_t", F.col("_id").alias("_a")).distinct()
+    b = keyed.select(F.col("_t").alias("_u"), F.col("_id").alias("_b")).distinct()
+    both = pairs.join(a, "_t").join(b, "_u").where("_a != _b")
+    return both.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()
+
+
+def look_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, representative, texts): each id with the smallest id whose text looks the same, and the number of different texts of its class.
+
+    An id with several texts has a row for each class. Classes are told by aggregation: no pairs are made."""
+    keyed = looks(df, id_col, text_col)
+    classes = keyed.groupBy("_c", "_v").agg(F.min("_id").alias("representative"), F.count_distinct("_t").alias("texts"))
+    return keyed.select("_id", "_c", "_v").distinct().join(classes, ["_c", "_v"]).select(F.col("_id").alias(id_col), "representative", "texts").distinct()

@@ -42,6 +42,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return entities.variant_pairs(entities.resolve(entities.names_of(table(spark, root, "case_evidence"))))
 
 
+def p3_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Membership instead of pairs: each string with the smallest string of its cluster."""
+    r = entities.resolve(entities.names_of(table(spark, root, "case_evidence")))
+    return r.join(r.groupBy("kind", "cluster").agg(F.min("name").alias("representative")), ["kind", "cluster"]).select("kind", "name", "representative")
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     asked = table(spark, root, "legal_queries")
     content = languages.learn(languages.dictionaries(table(spark, root, "documents")), asked, "original_query")
@@ -76,6 +82,13 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return staged.select(F.lit("staged").alias("src"), "*").unionByName(results.select(F.lit("result").alias("src"), "*"))
 
 
+def p6_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Membership instead of pairs: each document with the representative of its class."""
+    staged = charforms.look_classes(table(spark, root, "staged_cases"), "doc_id", "text_excerpt")
+    results = charforms.look_classes(table(spark, root, "document_results"), "doc_id", "text")
+    return staged.select(F.lit("staged").alias("src"), "*").unionByName(results.select(F.lit("result").alias("src"), "*"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, root, "documents"))
 
@@ -94,7 +107,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p7_ids": p7_ids,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids,
         "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p9_found": p9_found,
     }
 

@@ -142,3 +142,13 @@ def test_sentence_rules():
     text = '1. He said, "I ran. It stopped." and left.\n\n HEADING \n \nNext one'
     assert [text[a:b] for a, b in sentences.spans(text, m)] == ['1. He said, "I ran. It stopped." and left.', "HEADING", "Next one"]
     assert sentences.spans("", m) == [] and len(sentences.spans("word " * 20000, m)) == 1
+
+
+def test_equal_texts_are_one_text(spark):
+    """Copies aren't paired with each other; each is paired with every text that looks the same, and classes need no pairs."""
+    rows = [(f"a{k}", "the court held") for k in range(4)] + [("b", "the  court held"), ("c", "the\u00a0court held"), ("d", "another"), ("e", None), ("f", " ")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    pairs = {tuple(r) for r in charforms.same_look(df, "doc_id", "text").collect()}
+    assert not any(x.startswith("a") and y.startswith("a") for x, y in pairs) and {(f"a{k}", "c") for k in range(4)} <= pairs
+    classes = {r.doc_id: r.representative for r in charforms.look_classes(df, "doc_id", "text").collect()}
+    assert classes["a3"] == classes["c"] == "a0" and classes["d"] == "d" and "e" not in classes and "f" not in classes
