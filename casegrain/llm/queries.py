@@ -7,14 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegrain.functions.text import WS
 from casegrain.llm import canonical, charforms, entities, languages, packing, scans, sentences, splitting, tokens
 from casegrain.sources.tables import table
 
 
+#: White space in the syntax of the other engine.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_oversized(table(spark, root, "document_results"))
 
 
+def p1_rebuilt(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the pieces: without what they repeat they give the text again, and none is over its limits."""
+    fresh = F.expr("substring(piece, fresh - start + 1)")
+    return p1_pieces(spark, root).groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("piece_no", fresh.alias("t")))).alias("_p"), F.bool_and(F.expr("end - start <= 2400 AND fresh - start <= 200")).alias("within"),
+        (F.count(F.lit(1)) > 1).alias("parted"),
+    ).select("doc_id", F.md5(F.array_join(F.transform("_p", lambda x: x["t"]), "").cast("binary")).alias("digest"), "within", "parted")
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return p1_pieces(spark, root).where("piece_no = 1").select("doc_id").distinct()
 
@@ -101,19 +115,38 @@ def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(table(spark, root, "documents"))
 
 
+def p8_placed(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the containers: each document is in one, unless it exceeds the capacity alone, and none is overfull."""
+    placed = p8_containers(spark, root)
+    full = placed.groupBy("container").agg((F.sum("piece_size") <= packing.CAPACITY).alias("_fits"))
+    return placed.join(full, "container").groupBy("doc_id").agg(
+        ((F.count(F.lit(1)) == 1) | (F.sum("piece_size") > packing.CAPACITY)).alias("whole"), F.bool_and("_fits").alias("fits"))
+
+
+def p9_covered(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of the sentences: together they hold all of a text but white space, in order."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    parts = p9_found(spark, root).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_start", "sent_end"))).alias("_s"))
+    whole = F.array_join(F.transform("_s", lambda x: F.substring("text", x["sent_start"] + 1, x["sent_end"] - x["sent_start"])), "")
+    return parts.join(docs, "doc_id").select("doc_id", F.md5(F.regexp_replace(whole, WS, "").cast("binary")).alias("digest"), F.size("_s").alias("_n")).drop("_n")
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return sentences.sentences(table(spark, root, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids,
-        "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p9_found": p9_found,
+        "p1_found": p1_found, "p1_pieces": p1_pieces, "p1_rebuilt": p1_rebuilt, "p2_found": p2_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_stretches": p4_stretches, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids,
+        "p7_decoded": p7_decoded, "p8_containers": p8_containers, "p8_placed": p8_placed, "p9_found": p9_found, "p9_covered": p9_covered,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": "SELECT DISTINCT doc_id FROM document_results WHERE length(text) > 2400",
+        "p1_rebuilt": "SELECT doc_id, md5(text) AS digest, true AS within, length(text) > 2400 AS parted FROM document_results WHERE coalesce(text, '') <> ''",
+        "p8_placed": f"SELECT doc_id, true AS whole, true AS fits FROM documents WHERE regexp_replace(coalesce(text, ''), '{_WHITE}', '', 'g') <> ''",
+        "p9_covered": f"SELECT doc_id, md5(regexp_replace(text, '{_WHITE}', '', 'g')) AS digest FROM documents WHERE regexp_replace(coalesce(text, ''), '{_WHITE}', '', 'g') <> ''",
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from casegrain.functions.lineage import cut
 
-BUCKETS = 1 << 21
+BUCKETS = 1 << 23
 ROUNDS = 2
 #: Distinct stretches of gaps held in a worker before they are passed on.
 HELD = 200_000
