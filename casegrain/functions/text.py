@@ -10,12 +10,16 @@ WS = r"[\s\x1c-\x1f\x85   -     　]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+#: The same white space as single characters, for trimming without a pattern.
+WS_LETTERS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_LETTERS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+$", "")
+    return F.rtrim(c, F.lit(WS_LETTERS))
 
 
 def collapse(c: Column) -> Column:
@@ -24,9 +28,11 @@ def collapse(c: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    """The lines of a text; a final line end opens no further line."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """The lines of a text; a final line end opens no further line. The text is named once, so that nested uses don't
+    multiply the work."""
+    ends = LINE_END.removeprefix(r"\r\n|").strip("[]")
+    found = F.regexp_extract_all(c, F.lit(rf"[^{ends}]*(?:{LINE_END})|[^{ends}]+"), F.lit(0))
+    return F.transform(found, lambda x: F.regexp_replace(x, rf"(?:{LINE_END})\z", ""))
 
 
 def words(c: Column) -> Column:

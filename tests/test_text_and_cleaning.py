@@ -59,4 +59,4 @@ def test_corrections_in_order(spark):
 def test_paragraphs(spark):
     rows = [("d", 1, 1, "ORDER", 0, 18), ("d", 1, 2, "one", 20, 38), ("d", 1, 3, "two", 40, 58), ("d", 1, 4, " ", 60, 78), ("d", 1, 5, "three", 90, 108)]
     df = spark.createDataFrame(rows, "doc_id string, page_num int, line_no int, text string, y1 int, y2 int")
-    assert cleaning.paragraphs(df).first().text == "ORDER\n\none two\n\nthree"
+    assert cleaning.paragraphs(df).first().text == "ORDER one two\n\nthree"
