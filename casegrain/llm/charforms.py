@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casegrain.functions.lineage import cut
+
 # Letters of other scripts that are drawn like Latin ones.
 LOOK_ALIKE = dict(
     zip(
@@ -135,7 +137,7 @@ def same_look(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     the visible form. Null and blank texts are no cases; repeated rows count once; an id
     with several texts takes part with each. Equal texts are one text until the pairs of different texts are
     known: a text under very many ids is never paired with itself."""
-    keyed = looks(df, id_col, text_col)
+    keyed = cut(looks(df, id_col, text_col))  # used three times
     one = keyed.select("_c", "_v", "_t").distinct()
     pairs = one.join(one.withColumnRenamed("_t", "_u"), ["_c", "_v"]).where("_t < _u").select("_t", "_u").distinct()
     a = keyed.select("_t", F.col("_id").alias("_a")).distinct()
@@ -148,6 +150,6 @@ def look_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, representative, texts): each id with the smallest id whose text looks the same, and the number of different texts of its class.
 
     An id with several texts has a row for each class. Classes are told by aggregation: no pairs are made."""
-    keyed = looks(df, id_col, text_col)
+    keyed = cut(looks(df, id_col, text_col))
     classes = keyed.groupBy("_c", "_v").agg(F.min("_id").alias("representative"), F.count_distinct("_t").alias("texts"))
     return keyed.select("_id", "_c", "_v").distinct().join(classes, ["_c", "_v"]).select(F.col("_id").alias(id_col), "representative", "texts").distinct()
