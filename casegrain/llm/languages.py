@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 80
 #: Bytes of a dictionary from documents, at most, and from unlabelled texts.
 DICTIONARY_BYTES, LEARNT_BYTES = 60_000, 30_000
-#: Unlabelled texts looked at for the dictionaries, at most about this many, chosen by hash, and in how many rounds.
-SAMPLE_TEXTS, ROUNDS = 3000, 3
+#: Unlabelled texts looked at for the dictionaries, at most about this many, chosen by hash.
+SAMPLE_TEXTS = 3000
+#: The margins by which such a text must be told, round by round: first only what leaves no doubt, then what that has made plain.
+LEARN_BYTES, LEARN_SHARES = 6, (0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)
 LEVEL = 3
 #: A stretch is rejected if the next language needs less than this many bytes, or this share, more.
 MARGIN_BYTES, MARGIN_SHARE = 2, 0.04
@@ -160,8 +162,8 @@ class Compressors:
                 if top == "CJK" and there.get("KANA", 0):
                     top = "KANA"
             fits = _FITS[top] & set(self.by)
-            if not fits:
-                return UNKNOWN, 0.0, False
+            if not fits:  # without a dictionary only the script can tell
+                return (next(iter(_FITS[top])), 0.5, True) if len(_FITS[top]) == 1 else (UNKNOWN, 0.0, False)
             sizes = {lang: n for n, lang in self.sizes(text, fits | ({"en"} & set(self.by)))}
             best, lang = min((sizes[x], x.removesuffix("_r")) for x in fits)
             others = [n for x, n in sizes.items() if x.removesuffix("_r") != lang]
@@ -198,14 +200,14 @@ def dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return out
 
 
-def learn(content: dict[str, bytes], texts: DataFrame, text_col: str, sample_texts: int = SAMPLE_TEXTS, rounds: int = ROUNDS) -> dict[str, bytes]:
-    """Dictionaries with what unlabelled texts add: in each round the texts told by twice the usual margin are put to their
-    language. At most about ``sample_texts`` distinct texts, chosen by hash, and LEARNT_BYTES a language."""
+def learn(content: dict[str, bytes], texts: DataFrame, text_col: str, sample_texts: int = SAMPLE_TEXTS, shares: tuple[float, ...] = LEARN_SHARES) -> dict[str, bytes]:
+    """Dictionaries with what unlabelled texts add: in each round the texts told by the round's margin are put to their
+    language; the margins start wide, lest a wrong guess teach itself. At most about ``sample_texts`` distinct texts, chosen by hash, and LEARNT_BYTES a language."""
     distinct = texts.where(F.length(F.trim(text_col)) > 0).select(text_col).distinct()
     part = int(min(1.0, sample_texts / max(1, distinct.count())) * 1_000_000)
     sample = sorted(r[0] for r in distinct.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < part).collect())
     now = content
-    for _ in range(rounds):
+    for share in shares:
         c = Compressors(now)
         told: dict[str, list[str]] = {}
         for text in sample:
@@ -213,7 +215,7 @@ def learn(content: dict[str, bytes], texts: DataFrame, text_col: str, sample_tex
             if ranked:
                 best, lang = ranked[0]
                 rest = min((n for n, other in ranked if other.removesuffix("_r") != lang.removesuffix("_r")), default=best + 64)
-                if rest - best >= 2 * max(MARGIN_BYTES, MARGIN_SHARE * best):
+                if rest - best >= max(LEARN_BYTES, share * best):
                     told.setdefault(lang, []).append(clean(text))
         now = {lang: data + "".join(told.get(lang, [])).encode()[:LEARNT_BYTES] for lang, data in content.items()}
     return now

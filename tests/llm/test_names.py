@@ -61,9 +61,14 @@ def test_variants(spark):
     assert entities.resolve(df.limit(0)).count() == 0
 
 
+def learnt(spark):
+    """Dictionaries as in production, from the smaller tables."""
+    docs, asked = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "legal_queries"))
+    return languages.learn(languages.dictionaries(docs), asked, "original_query")
+
+
 def test_languages(spark):
-    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
-    content = languages.dictionaries(docs)
+    content = learnt(spark)
     asked = [("en", "My landlord has not returned the deposit for the house"), ("ta", "veettu owner panam thirumba tharala, naan enna seiyanum"), ("hi", "makan malik paisa wapas nahi kar raha hai, kya kare"),
              ("mr", "माझ्या घरमालकाने पैसे परत दिले नाहीत, काय करावे?"), ("hi", "मेरे मकान मालिक ने पैसा वापस नहीं किया है, क्या करें?"), ("ta", "என் வீட்டு உரிமையாளர்"), ("ja", "お金を返してくれません"), ("zh", "公司没有支付工资，我该怎么办"), (None, "123 ..."), (None, ""), (None, None)]
     df = spark.createDataFrame([(i, t, "x") for i, (_, t) in enumerate(asked)], "query_id int, text string, lang string")
@@ -71,8 +76,15 @@ def test_languages(spark):
     assert [got[i] for i in range(len(asked))] == [lang for lang, _ in asked]
 
 
-def test_mixed(spark):
+def test_languages_without_documents(spark):
+    """Without a labelled document only a script of one language tells anything."""
     content = languages.dictionaries(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame([(0, "என் வீட்டு உரிமையாளர்"), (1, "the house"), (2, "मेरे मकान")], "query_id int, text string")
+    assert {r.query_id: (r.lang, r.accepted) for r in languages.classify_texts(df, "query_id", "text", content).collect()} == {0: ("ta", True), 1: ("und", False), 2: ("und", False)}
+
+
+def test_mixed(spark):
+    content = learnt(spark)
     en, ta = "The landlord did not return the deposit. The police took my brother last night.", "காவல்துறை என் தம்பியை அழைத்துச் சென்றது. வேலையில் இருந்து என்னை நீக்கிவிட்டார்கள்."
     df = spark.createDataFrame([("m", f"Court copy\n{en}\n\n{ta}\n"), ("h", f"A. B. Rao v. State\n\n{ta}"), ("n", None), ("e", "")], "doc_id string, text string")
     found = languages.text_languages(df, "doc_id", "text", content)
