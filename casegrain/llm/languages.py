@@ -27,6 +27,8 @@ DICTIONARY_BYTES, LEARNT_BYTES = 60_000, 30_000
 SAMPLE_TEXTS = 3000
 #: The margins by which such a text must be told, round by round: first only what leaves no doubt, then what that has made plain.
 LEARN_BYTES, LEARN_SHARES = 6, (0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)
+#: Further rounds with the last margin, at most, until they change nothing.
+LEARN_MORE = 12
 LEVEL = 3
 #: A stretch is rejected if the next language needs less than this many bytes, or this share, more.
 MARGIN_BYTES, MARGIN_SHARE = 2, 0.04
@@ -202,12 +204,13 @@ def dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
 def learn(content: dict[str, bytes], texts: DataFrame, text_col: str, sample_texts: int = SAMPLE_TEXTS, shares: tuple[float, ...] = LEARN_SHARES) -> dict[str, bytes]:
     """Dictionaries with what unlabelled texts add: in each round the texts told by the round's margin are put to their
-    language; the margins start wide, lest a wrong guess teach itself. At most about ``sample_texts`` distinct texts, chosen by hash, and LEARNT_BYTES a language."""
+    language; the margins start wide, lest a wrong guess teach itself, and the last is kept until nothing changes. At most about ``sample_texts`` distinct texts, chosen by hash, and LEARNT_BYTES a language."""
     distinct = texts.where(F.length(F.trim(text_col)) > 0).select(text_col).distinct()
     part = int(min(1.0, sample_texts / max(1, distinct.count())) * 1_000_000)
     sample = sorted(r[0] for r in distinct.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < part).collect())
     now = content
-    for share in shares:
+    before = None
+    for k, share in enumerate([*shares, *[shares[-1]] * LEARN_MORE]):
         c = Compressors(now)
         told: dict[str, list[str]] = {}
         for text in sample:
@@ -217,6 +220,9 @@ def learn(content: dict[str, bytes], texts: DataFrame, text_col: str, sample_tex
                 rest = min((n for n, other in ranked if other.removesuffix("_r") != lang.removesuffix("_r")), default=best + 64)
                 if rest - best >= max(LEARN_BYTES, share * best):
                     told.setdefault(lang, []).append(clean(text))
+        if k >= len(shares) and told == before:
+            break
+        before = told
         now = {lang: data + "".join(told.get(lang, [])).encode()[:LEARNT_BYTES] for lang, data in content.items()}
     return now
 
