@@ -81,3 +81,16 @@ def test_evidence_helpers(spark):
     assert {r.doc_id: (r.attempt, r.is_low) for r in evidence.best_attempt(attempts).collect()} == {"d": (2, False), "e": (2, True)}
     a = spark.createDataFrame([('```json\n{"s": "v"}\n```',), ('so {"s": "w"} then',), ("none",)], "x string").select(evidence.parse_answer(F.col("x"), "s string").alias("p")).collect()
     assert [x.p.s if x.p else None for x in a] == ["v", "w", None]
+
+
+def test_names_in_pieces_are_never_broadcast(spark):
+    """The planner takes exploded names for small; with many terms it would send them all through the driver."""
+    names = spark.createDataFrame([(f"Trader {i} v. State of Beta {i * 7}",) for i in range(400)] + [(None,)], "name string").repartition(2)
+    terms = spark.createDataFrame([(f"TRADER {i} v. State of Beta {i * 7} and another",) for i in range(3000)] + [("trader 7 V.",), ("77",), (" ",), (None,)], "term string").repartition(2)
+    found = graph.containing(names, terms)
+    got = {tuple(r) for r in found.collect()}
+    assert ("Trader 7 v. State of Beta 49", "trader 7 V.") in got and {t for _, t in got} == {"trader 7 V.", "77"}
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    for k in [k for k, x in enumerate(lines) if "BroadcastExchange" in x]:
+        below = next(x for x in lines[k + 1 :] if any(w in x for w in ("Aggregate", "Join", "Scan", "Generate explode(array_distinct(concat")))
+        assert "Generate" not in below
