@@ -94,3 +94,15 @@ def test_names_in_pieces_are_never_broadcast(spark):
     for k in [k for k, x in enumerate(lines) if "BroadcastExchange" in x]:
         below = next(x for x in lines[k + 1 :] if any(w in x for w in ("Aggregate", "Join", "Scan", "Generate explode(array_distinct(concat")))
         assert "Generate" not in below
+
+
+def test_staged_titles_against_few_names(spark):
+    """More titles than names: still no exploded name is broadcast, and a title counts by its first sixty letters."""
+    long = "State of Beta and its Department of Roads and Bridges v. Alpha Traders Pvt. Ltd."
+    cases = spark.createDataFrame([(f"Trader {i} v. State of Beta {i * 7}",) for i in range(400)] + [("In re " + long[:60].upper(),), (None,)], "case_name string").repartition(2)
+    staged = spark.createDataFrame([(f"w{i}", f"High Court examines rule {i} in a matter of Beta {i * 7}") for i in range(3000)] + [("a", " " + long), ("b", "trader 7 v"), ("c", " "), ("d", None)], "doc_id string, title string").repartition(2)
+    found = graph.known_titles(staged, cases)
+    assert {r.doc_id for r in found.collect()} == {"a", "b"}
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    for k in [k for k, x in enumerate(lines) if "BroadcastExchange" in x]:
+        assert "Generate" not in next(x for x in lines[k + 1 :] if any(w in x for w in ("Aggregate", "Join", "Scan", "Generate explode(array_distinct(concat")))
