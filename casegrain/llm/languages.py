@@ -4,7 +4,7 @@ A text is encoded with a zstandard raw-content dictionary of each language; the
 names the language, and a narrow margin to the next is rejected. The dictionaries hold a bounded sample of labelled
 documents whose script agrees with their label. For Tamil and Hindi in Roman letters the same sample is written as
 people type it, by rule. What dictionaries of judgments lack, the register of everyday questions, is learnt from
-unlabelled texts of a bounded sample that are told by a wide margin, in a few rounds.
+the commonest sentences of all unlabelled texts, as far as they are told by a wide margin, in a few rounds.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 80
 #: Bytes of a dictionary from documents, at most, and from unlabelled texts.
 DICTIONARY_BYTES, LEARNT_BYTES = 60_000, 30_000
-#: Unlabelled texts looked at for the dictionaries, at most about this many, chosen by hash.
+#: Sentences of unlabelled texts looked at for the dictionaries: so many of the commonest at most.
 SAMPLE_TEXTS = 3000
 #: The margins by which such a text must be told, round by round: first only what leaves no doubt, then what that has made plain.
 LEARN_BYTES, LEARN_SHARES = 6, (0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)
@@ -102,6 +102,7 @@ for _name, _ranges in {
     for _a, _b in _ranges:
         _BLOCKS[_a >> 7 : (_b >> 7) + 1] = _NAMES.index(_name)
 _FITS = {name: {lang for lang, s in SCRIPTS.items() if name in s} for name in _NAMES if name}
+_SENTENCE = re.compile(r"[.!?…।॥۔؟。！？]+[\"'”’)\]」』]*(?:\s+|$)|\n")
 _PLAIN = str.maketrans({c: " " for c in "0123456789.,;:!?\"'()[]{}<>/\\|-_@#$%^&*+=~`।॥۔؟،؛。，、！？：；“”‘’「」…—–"})
 
 
@@ -202,12 +203,39 @@ def dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return out
 
 
+def _sentences(texts: DataFrame, text_col: str) -> DataFrame:
+    """(text, n): the cleaned sentences of all texts and how often each stands there.
+
+    Numbers and the order of sentences make new texts without end as a table grows, but no new sentences."""
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[c for c in map(clean, _SENTENCE.split(t)) if c.strip()] for t in batch], dtype=object)
+
+    return texts.where(F.length(F.trim(text_col)) > 0).select(F.explode(split(F.col(text_col))).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _covering(texts: list[str], most: int) -> bytes:
+    """The texts that bring a pair of neighbouring words which none before them has, in ``most`` bytes at most."""
+    seen: set[tuple[str, str]] = set()
+    out, size = [], 0
+    for text in texts:
+        words = text.split()
+        pairs = {*zip(["", *words], [*words, ""])}
+        data = text.encode()
+        if pairs - seen and size + len(data) <= most:
+            seen |= pairs
+            out.append(data)
+            size += len(data)
+    return b"".join(out)
+
+
 def learn(content: dict[str, bytes], texts: DataFrame, text_col: str, sample_texts: int = SAMPLE_TEXTS, shares: tuple[float, ...] = LEARN_SHARES) -> dict[str, bytes]:
-    """Dictionaries with what unlabelled texts add: in each round the texts told by the round's margin are put to their
-    language; the margins start wide, lest a wrong guess teach itself, and the last is kept until nothing changes. At most about ``sample_texts`` distinct texts, chosen by hash, and LEARNT_BYTES a language."""
-    distinct = texts.where(F.length(F.trim(text_col)) > 0).select(text_col).distinct()
-    part = int(min(1.0, sample_texts / max(1, distinct.count())) * 1_000_000)
-    sample = sorted(r[0] for r in distinct.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < part).collect())
+    """Dictionaries with what unlabelled texts add: in each round the sentences told by the round's margin are put to their
+    language; the margins start wide, lest a wrong guess teach itself, and the last is kept until nothing changes. The
+    ``sample_texts`` commonest sentences, counted over all texts, and LEARNT_BYTES a language at most; what repeats is left out."""
+    sample = [r[0] for r in _sentences(texts, text_col).orderBy(F.desc("n"), "text").limit(sample_texts).select("text").collect()]
     now = content
     before = None
     for k, share in enumerate([*shares, *[shares[-1]] * LEARN_MORE]):
@@ -219,11 +247,11 @@ def learn(content: dict[str, bytes], texts: DataFrame, text_col: str, sample_tex
                 best, lang = ranked[0]
                 rest = min((n for n, other in ranked if other.removesuffix("_r") != lang.removesuffix("_r")), default=best + 64)
                 if rest - best >= max(LEARN_BYTES, share * best):
-                    told.setdefault(lang, []).append(clean(text))
+                    told.setdefault(lang, []).append(text)
         if k >= len(shares) and told == before:
             break
         before = told
-        now = {lang: data + "".join(told.get(lang, [])).encode()[:LEARNT_BYTES] for lang, data in content.items()}
+        now = {lang: data + _covering(told.get(lang, []), LEARNT_BYTES) for lang, data in content.items()}
     return now
 
 

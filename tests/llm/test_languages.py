@@ -28,3 +28,12 @@ def test_unlabelled_texts_teach_their_register(spark):
     learnt = languages.learn(content, spark.createDataFrame(asked, "q string"), "q")
     assert b"aachu" in learnt["ta_r"] and b"aachu" not in learnt["en"]
     assert languages.learn(content, spark.createDataFrame([], "q string"), "q") == content
+
+
+def test_a_question_with_many_numbers_does_not_crowd_out_others(spark):
+    """However many texts differ in their numbers or in the order of sentences, each sentence is learnt, and once."""
+    content = {"en": b" the court held that the appeal must be allowed with costs " * 30, "ta_r": b" avar veedu nilam thaan enru sonnaar avanga enna rupai vandhu " * 30}
+    asked = [(f"{i} rupai vandhu nilam sonnaar. {i + 7} avanga enna sonnaar veedu",) for i in range(600)] + [("avanga enna sonnaanga, veedu enna aachu",)]
+    learnt = languages.learn(content, spark.createDataFrame(asked, "q string"), "q", sample_texts=20)
+    assert b"aachu" in learnt["ta_r"] and learnt["ta_r"][len(content["ta_r"]) :].count(b"rupai") == 1
+    assert learnt["en"] == content["en"]
