@@ -106,3 +106,14 @@ def test_staged_titles_against_few_names(spark):
     lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
     for k in [k for k, x in enumerate(lines) if "BroadcastExchange" in x]:
         assert "Generate" not in next(x for x in lines[k + 1 :] if any(w in x for w in ("Aggregate", "Join", "Scan", "Generate explode(array_distinct(concat")))
+
+
+def test_titles_broadcast_only_numbers_of_pieces(spark, tmp_path):
+    """Small files tempt the planner to broadcast by its estimates; only the bounded numbers of the pieces looked up may go out."""
+    long = "State of Beta and its Department of Roads and Bridges v. Alpha Traders Pvt. Ltd."
+    spark.createDataFrame([(f"Trader {i} v. State of Beta {i * 7}",) for i in range(400)] + [("In re " + long[:60].upper(),), (None,)], "case_name string").write.parquet(f"{tmp_path}/cases")
+    spark.createDataFrame([(f"w{i}", f"High Court examines rule {i} in a matter of Beta {i * 7}") for i in range(3000)] + [("a", " " + long), ("b", "trader 7 v"), ("c", " "), ("d", None), ("e", "7")], "doc_id string, title string").write.parquet(f"{tmp_path}/staged")
+    found = graph.known_titles(spark.read.parquet(f"{tmp_path}/staged"), spark.read.parquet(f"{tmp_path}/cases"))
+    sent = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastExchange" in x]
+    assert len(sent) == 1 and "int, true] as bigint" in sent[0]
+    assert {r.doc_id for r in found.collect()} == {"a", "b", "e"}
